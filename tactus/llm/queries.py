@@ -7,17 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import jaccard_join, pieces, shared, token_file
+
+#: Files of the public tokenizers; a parameter of the operators.
+WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encoded_and_back(table(spark, sf_dir, "documents"), tokenizer(PIECES))
+    return rows.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "same")
+
+
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.new_path(spark, "token-file")
+    return token_file.read(spark, folder, token_file.write(table(spark, sf_dir, "documents"), folder, tokenizer(WORD_BPE)))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_ngram_jaccard_join,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_sentencepiece, op5_token_file, op10_ngram_jaccard_join,)}
 ORACLES: dict[str, str] = {}
