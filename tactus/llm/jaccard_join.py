@@ -6,9 +6,8 @@ Method. The universe of shingle hashes is cut into equal segments. Sizes fall in
 the largest difference that two similar sets of the band can have, so two similar sets agree in a segment, or differ by one
 element in a segment that is indexed with its one-deletion neighbourhood. How many segments of either kind a band gets is
 chosen by cost. Equal signatures are candidates; a parity sketch that never exceeds the true difference discards most of the
-others; what is left is verified on the whole sets. Equal sets are one class from the start, and within a bucket rows meet the
-first `LEADERS` rows; the rest of a large bucket is only paired across groups that verified links have not joined already, so
-groups of copies are never expanded into all their pairs and no link between groups is lost.
+others; what is left is verified on the whole sets. Equal sets are one class from the start, and shared.bucket_groups joins the
+classes without expanding groups of copies into all their pairs.
 
 Defined results: null, empty or wordless text has no shingle and is linked with nothing; with fewer words than the n-gram the
 whole sequence is one shingle; a repeated doc_id is one node with the links of all its rows; rows with a null doc_id come
@@ -23,13 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared as S
 
-#: Rows of a bucket that every later row is compared with.
-LEADERS = 8
 #: Sizes of a band reach up to this multiple of its smallest.
 BAND = 1.5
 #: Rows for which the allocation weighs signatures against chance candidates.
@@ -181,42 +178,16 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     leaders = own.where("doc_id = class_id").select("doc_id", "n_shingles").distinct()
     entries = table.join(leaders, ["doc_id", "n_shingles"], "left_semi").select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("id"), "sketch", "n_shingles")
 
-    def close(a, b):  # sizes and sketches that a link can have
+    def close(a: Column, b: Column) -> Column:  # sizes and sketches that a link can have
         size = F.greatest(a["n_shingles"], b["n_shingles"]) * percent <= F.least(a["n_shingles"], b["n_shingles"]) * 100
         n = a["n_shingles"] + b["n_shingles"]
-        return size & (F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= n - 2 * F.ceil(n * percent / (100 + percent) - 1e-9)) & (a["id"] != b["id"])
-
-    at = Window.partitionBy("sig").orderBy("id")
-    shared_sig = entries.withColumn("rank", F.row_number().over(at)).withColumn("next", F.lead("id").over(at)).where("rank > 1 or next is not null")
-    seen = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    me = F.struct("id", "sketch", "n_shingles")
-    firsts = F.array(*(F.nth_value(me, i + 1).over(seen) for i in range(LEADERS)))
-    rows = shared_sig.withColumn("firsts", firsts).where("rank > 1")
-    met = F.transform(
-        F.filter("firsts", lambda x: x.isNotNull() & close(x, me)),
-        lambda x: F.struct(x["id"].alias("a"), F.col("id").alias("b"), F.bit_count(x["sketch"].bitwiseXOR(F.col("sketch"))).cast("long").alias("x"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind")),
-    )
-    rest = F.when(F.col("rank") > LEADERS, F.array(F.struct(F.col("sig").alias("a"), F.col("id").alias("b"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n"), F.lit(1).alias("kind")))).otherwise(F.array())
-    found = rows.select(F.explode(F.concat(met, rest)).alias("f")).select("f.*").distinct()
-    found = S.materialize(found, "ngram-found", "kind")
-    met = found.where("kind = 0").select("a", "b", "x")
-    rest = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("id"), F.col("x").alias("sketch"), F.col("n").alias("n_shingles"))
-
-    nearest = met.groupBy("b").agg(F.min(F.struct("x", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = S.materialize(verify(docs, nearest, width, percent), "ngram-links")
-    joined = S.components(links, "ngram-first")
-    label = lambda df, c: df.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-    more = label(label(met.join(nearest, ["a", "b"], "left_anti"), "a"), "b").where("c_a <> c_b").select("a", "b")
-    if rest.take(1):
-        placed = label(rest, "id")
-        l, r = placed.select(F.struct("id", "sketch", "n_shingles", "c_id").alias("l"), "sig"), placed.select(F.struct("id", "sketch", "n_shingles", "c_id").alias("r"), "sig")
-        pairs = l.join(r, (l["sig"] == r["sig"]) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c_id") != F.col("r.c_id")) & close(F.col("l"), F.col("r")))
-        more = more.union(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")))
-    late = S.materialize(verify(docs, S.materialize(more.distinct(), "ngram-more"), width, percent), "ngram-late")
+        return size & (F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= n - 2 * F.ceil(n * percent / (100 + percent) - 1e-9))
+
+    distance = lambda a, b: F.bit_count(a["sketch"].bitwiseXOR(b["sketch"]))
+    linked = S.bucket_groups(entries, close, distance, lambda pairs: verify(docs, pairs, width, percent), "ngram")
     twice = own.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("doc_id", "a")
     repeated = own.join(twice, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b"))
-    edges = joined.select(F.col("component").alias("a"), F.col("node").alias("b")).union(late).union(repeated)
-    final = S.components(edges, "ngram-final")
+    final = S.components(linked.union(repeated), "ngram-final")
     placed = own.join(final.select(F.col("node").alias("class_id"), F.col("component").alias("root")), "class_id", "left")
     empty = docs.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"))
     alone = table.where("n_shingles = 0").select("doc_id", "n_shingles")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, pieces, shared, token_file
+from . import host_rules, jaccard_join, line_dedup, pieces, shared, token_file, url_cascade
 
 #: Files of the public tokenizers; a parameter of the operators.
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encoded_and_back(table(spark, sf_dir, "documents"), tokenizer(PIECES))
     return rows.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "same")
@@ -33,10 +37,19 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, folder, token_file.write(table(spark, sf_dir, "documents"), folder, tokenizer(WORD_BPE)))
 
 
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.decisions(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), F.array_join("kept", ",").alias("kept_lines"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_sentencepiece, op5_token_file, op10_ngram_jaccard_join,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_host_rules, op4_sentencepiece, op5_token_file, op7_url_cascade, op8_line_dedup, op10_ngram_jaccard_join,)}
 ORACLES: dict[str, str] = {}

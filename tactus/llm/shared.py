@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -161,3 +162,48 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("further"))
         labels = materialize(hooked.join(jump, "via").select("node", F.least("via", "further").alias("component"), (F.least("via", "further") < F.col("old")).alias("moved")), f"{tag}-labels")
     return labels.select("node", "component")
+
+
+#: Rows of a bucket that every later row is compared with.
+LEADERS = 8
+
+
+def bucket_groups(entries: DataFrame, close: Callable[[Column, Column], Column], distance: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """Edges (a, b) that connect exactly the nodes that links connect; a link is a pair in a common bucket that verify() keeps.
+
+    entries: rows (sig, id, further columns), one for each bucket of a node. close(a, b) tells from two such rows whether they
+    can be linked, distance(a, b) which link is likelier. Within a bucket every row meets the first LEADERS rows, so smaller
+    buckets are covered whole. Each node's nearest such partner is verified; what these links join is one group. The other
+    partners, and pairs of later rows of large buckets, are only verified where they lie in different groups. So a group of
+    copies costs about one pair for each member, and every pair of a bucket is either verified or within a group already.
+    """
+    attributes = [c for c in entries.columns if c != "sig"]
+    at = Window.partitionBy("sig").orderBy("id")
+    common = entries.withColumn("rank", F.row_number().over(at)).withColumn("next", F.lead("id").over(at)).where("rank > 1 or next is not null")
+    seen = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    me = F.struct(*attributes)
+    rows = common.withColumn("firsts", F.array(*(F.nth_value(me, i + 1).over(seen) for i in range(LEADERS)))).where("rank > 1")
+    none = [F.lit(None).cast(dict(entries.dtypes)[c]).alias(c) for c in attributes]
+    met = F.transform(
+        F.filter("firsts", lambda x: x.isNotNull() & (x["id"] != F.col("id")) & close(x, me)),
+        lambda x: F.struct(F.lit(0).alias("kind"), x["id"].alias("a"), F.col("id").alias("b"), distance(x, me).cast("long").alias("d"), F.lit(None).cast("long").alias("sig"), F.struct(*none).alias("row")),
+    )
+    late = F.struct(F.lit(1).alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), F.lit(None).cast("long").alias("d"), "sig", me.alias("row"))
+    found = rows.select(F.explode(F.concat(met, F.when(F.col("rank") > LEADERS, F.array(late)).otherwise(F.array()))).alias("f")).select("f.*")
+    found = materialize(found.distinct(), f"{tag}-found", "kind")
+    met = found.where("kind = 0").select("a", "b", "d")
+    rest = found.where("kind = 1").select("sig", "row.*")
+
+    nearest = materialize(met.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), f"{tag}-nearest")
+    links = materialize(verify(nearest), f"{tag}-links")
+    joined = components(links, f"{tag}-first")
+    label = lambda df, c: df.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+    more = label(label(met.join(nearest, ["a", "b"], "left_anti"), "a"), "b").where("c_a <> c_b").select("a", "b")
+    if rest.take(1):
+        placed = label(rest, "id")
+        l, r = (placed.select(F.col("sig").alias(f"sig_{x}"), F.struct("c_id", *attributes).alias(x)) for x in "lr")
+        pairs = l.join(r, (F.col("sig_l") == F.col("sig_r")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c_id") != F.col("r.c_id")) & close(F.col("l"), F.col("r")))
+        more = more.union(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")))
+    more = materialize(more.distinct(), f"{tag}-more")
+    edges = joined.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return edges.union(materialize(verify(more), f"{tag}-late")) if more.take(1) else edges
