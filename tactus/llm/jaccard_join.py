@@ -32,7 +32,9 @@ BAND = 1.5
 #: Rows for which the allocation weighs signatures against chance candidates.
 DESIGN_ROWS = 1 << 30
 U64 = np.uint64
-TABLE = "doc_id long, n_shingles long, k1 long, k2 long, sketch long, sigs array<long>"
+#: 64-bit words of the sketch that pairs are compared by.
+WIDE = 16
+TABLE = "doc_id long, n_shingles long, k1 long, k2 long, sketch long, wide array<long>, sigs array<long>"
 
 
 def required(a: int, b: int, percent: int) -> int:
@@ -101,10 +103,10 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
-def parity_sketch(h: np.ndarray) -> int:
-    """64 parities: two sets' sketches differ in at most as many bits as the sets in elements."""
-    bits = np.bincount((h >> U64(3) & U64(63)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(bits.astype(np.uint8)).view(np.int64)[0])
+def parity_sketch(h: np.ndarray, words: int = 1) -> np.ndarray:
+    """64 parities a word: two sets' sketches differ in at most as many bits as the sets in elements."""
+    bits = np.bincount((h >> U64(3) & U64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _tables(width: int, percent: int):
@@ -123,10 +125,11 @@ def _tables(width: int, percent: int):
                         pa.array([len(h) for h in rows], pa.int64()),
                         pa.array(keys[:, 0]),
                         pa.array(keys[:, 1]),
-                        pa.array([parity_sketch(h) for h in rows], pa.int64()),
+                        pa.array(np.concatenate([parity_sketch(h) for h in rows])),
+                        pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([parity_sketch(h, WIDE) for h in rows])), WIDE).cast(pa.list_(pa.int64())),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64) if sigs else [], pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "sketch", "sigs"],
+                    names=["doc_id", "n_shingles", "k1", "k2", "sketch", "wide", "sigs"],
                 )
 
     return run
@@ -178,13 +181,20 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     leaders = own.where("doc_id = class_id").select("doc_id", "n_shingles").distinct()
     entries = table.join(leaders, ["doc_id", "n_shingles"], "left_semi").select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("id"), "sketch", "n_shingles")
 
-    def close(a: Column, b: Column) -> Column:  # sizes and sketches that a link can have
-        size = F.greatest(a["n_shingles"], b["n_shingles"]) * percent <= F.least(a["n_shingles"], b["n_shingles"]) * 100
+    def allowed(a: Column, b: Column) -> Column:  # largest difference of a link
         n = a["n_shingles"] + b["n_shingles"]
-        return size & (F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= n - 2 * F.ceil(n * percent / (100 + percent) - 1e-9))
+        return n - 2 * F.ceil(n * percent / (100 + percent) - 1e-9)
+
+    def close(a: Column, b: Column) -> Column:
+        size = F.greatest(a["n_shingles"], b["n_shingles"]) * percent <= F.least(a["n_shingles"], b["n_shingles"]) * 100
+        return size & (F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= allowed(a, b))
+
+    def closer(a: Column, b: Column) -> Column:
+        return sum(F.bit_count(F.get(a["wide"], F.lit(i)).bitwiseXOR(F.get(b["wide"], F.lit(i)))) for i in range(WIDE)) <= allowed(a, b)
 
+    details = table.select(F.col("doc_id").alias("id"), "n_shingles", "wide")
     distance = lambda a, b: F.bit_count(a["sketch"].bitwiseXOR(b["sketch"]))
-    linked = S.bucket_groups(entries, close, distance, lambda pairs: verify(docs, pairs, width, percent), "ngram")
+    linked = S.bucket_groups(entries, close, distance, lambda pairs: verify(docs, pairs, width, percent), "ngram", details, closer)
     twice = own.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("doc_id", "a")
     repeated = own.join(twice, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b"))
     final = S.components(linked.union(repeated), "ngram-final")

@@ -168,14 +168,23 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 LEADERS = 8
 
 
-def bucket_groups(entries: DataFrame, close: Callable[[Column, Column], Column], distance: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+def bucket_groups(
+    entries: DataFrame,
+    close: Callable[[Column, Column], Column],
+    distance: Callable[[Column, Column], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    tag: str,
+    details: DataFrame | None = None,
+    closer: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Edges (a, b) that connect exactly the nodes that links connect; a link is a pair in a common bucket that verify() keeps.
 
     entries: rows (sig, id, further columns), one for each bucket of a node. close(a, b) tells from two such rows whether they
     can be linked, distance(a, b) which link is likelier. Within a bucket every row meets the first LEADERS rows, so smaller
     buckets are covered whole. Each node's nearest such partner is verified; what these links join is one group. The other
-    partners, and pairs of later rows of large buckets, are only verified where they lie in different groups. So a group of
-    copies costs about one pair for each member, and every pair of a bucket is either verified or within a group already.
+    partners, then pairs of later rows of large buckets, are only verified where they lie in different groups by then. So a
+    group of copies costs about one pair for each member, and every pair of a bucket is either verified or within a group.
+    details: rows (id, further columns) with which closer(a, b) tells more exactly, of pairs only, whether they can be linked.
     """
     attributes = [c for c in entries.columns if c != "sig"]
     at = Window.partitionBy("sig").orderBy("id")
@@ -193,17 +202,27 @@ def bucket_groups(entries: DataFrame, close: Callable[[Column, Column], Column],
     found = materialize(found.distinct(), f"{tag}-found", "kind")
     met = found.where("kind = 0").select("a", "b", "d")
     rest = found.where("kind = 1").select("sig", "row.*")
+    if details is not None:
+        known = lambda c, x: details.select(F.col("id").alias(c), F.struct(*details.columns).alias(x))
+        met = materialize(met.join(known("a", "x"), "a").join(known("b", "y"), "b").where(closer(F.col("x"), F.col("y"))).select("a", "b", "d"), f"{tag}-met")
+        rest = rest.join(known("id", "more"), "id")
+
+    def label(df: DataFrame, groups: DataFrame, c: str) -> DataFrame:
+        return df.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
 
     nearest = materialize(met.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), f"{tag}-nearest")
-    links = materialize(verify(nearest), f"{tag}-links")
-    joined = components(links, f"{tag}-first")
-    label = lambda df, c: df.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-    more = label(label(met.join(nearest, ["a", "b"], "left_anti"), "a"), "b").where("c_a <> c_b").select("a", "b")
-    if rest.take(1):
-        placed = label(rest, "id")
-        l, r = (placed.select(F.col("sig").alias(f"sig_{x}"), F.struct("c_id", *attributes).alias(x)) for x in "lr")
-        pairs = l.join(r, (F.col("sig_l") == F.col("sig_r")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c_id") != F.col("r.c_id")) & close(F.col("l"), F.col("r")))
-        more = more.union(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")))
-    more = materialize(more.distinct(), f"{tag}-more")
-    edges = joined.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return edges.union(materialize(verify(more), f"{tag}-late")) if more.take(1) else edges
+    joined = components(verify(nearest), f"{tag}-first")
+    as_edges = lambda g: g.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    across = label(label(met.join(nearest, ["a", "b"], "left_anti"), joined, "a"), joined, "b").where("c_a <> c_b").select("a", "b").distinct()
+    across = materialize(across, f"{tag}-across")
+    if across.take(1):
+        joined = components(as_edges(joined).union(verify(across)), f"{tag}-second")
+    if not rest.take(1):
+        return as_edges(joined)
+    placed = materialize(label(rest, joined, "id"), f"{tag}-rest")
+    l, r = (placed.select(F.col("sig").alias(f"sig_{x}"), F.struct(*(c for c in placed.columns if c != "sig")).alias(x)) for x in "lr")
+    can = (F.col("sig_l") == F.col("sig_r")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c_id") != F.col("r.c_id")) & close(F.col("l"), F.col("r"))
+    if details is not None:
+        can &= closer(F.col("l.more"), F.col("r.more"))
+    more = materialize(l.join(r, can).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), f"{tag}-more")
+    return as_edges(joined).union(materialize(verify(more), f"{tag}-late")) if more.take(1) else as_edges(joined)
