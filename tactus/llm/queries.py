@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, jaccard_join, line_dedup, pieces, shared, token_file, url_cascade
+from . import decontam, host_rules, jaccard_join, line_dedup, pieces, shared, token_file, toxicity, url_cascade
 
 #: Files of the public tokenizers; a parameter of the operators.
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -27,6 +27,10 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encoded_and_back(table(spark, sf_dir, "documents"), tokenizer(PIECES))
     return rows.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "same")
@@ -37,6 +41,10 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, folder, token_file.write(table(spark, sf_dir, "documents"), folder, tokenizer(WORD_BPE)))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"))
 
@@ -51,5 +59,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_host_rules, op4_sentencepiece, op5_token_file, op7_url_cascade, op8_line_dedup, op10_ngram_jaccard_join,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_host_rules, op3_decontamination, op4_sentencepiece, op5_token_file, op6_toxicity, op7_url_cascade, op8_line_dedup, op10_ngram_jaccard_join,)}
 ORACLES: dict[str, str] = {}
