@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, host_rules, jaccard_join, line_dedup, pieces, shared, token_file, toxicity, url_cascade
+from . import decontam, host_rules, jaccard_join, line_dedup, pieces, pii, quotes, shared, token_file, toxicity, url_cascade
 
 #: Files of the public tokenizers; a parameter of the operators.
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -54,10 +58,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), F.array_join("kept", ",").alias("kept_lines"))
 
 
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quotes.conversations(table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "turn", "role", "parent", "branch", "position", "n_quoted", "n_linked", F.sha2("clean", 256).alias("clean_sha256"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_host_rules, op3_decontamination, op4_sentencepiece, op5_token_file, op6_toxicity, op7_url_cascade, op8_line_dedup, op10_ngram_jaccard_join,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_host_rules, op3_decontamination, op4_sentencepiece, op5_token_file, op6_toxicity, op7_url_cascade, op8_line_dedup, op9_quotation_linking, op10_ngram_jaccard_join,)}
 ORACLES: dict[str, str] = {}

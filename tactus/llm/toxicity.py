@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are words and word beginnings, found from counts over all labelled rows that may be learnt from, and a few patterns; each
-votes toxic or abstains, and an absence voter votes clean where no other votes. A generative label model, fitted by expectation
+Voters are words, word beginnings and numbers of words with one beginning, found from counts over all labelled rows that may be learnt from, and a few
+patterns; the annotator is one more. Each votes toxic or abstains, and an absence voter votes clean where no other votes. A generative label model, fitted by expectation
 maximisation on a bounded sample, estimates how often each voter speaks on toxic and on clean texts; voters that speak
 together more than the label explains are correlated, and their evidence is shared out by the strength of their correlations.
 Its posteriors are the labels that a linear classifier over the voters and further associated terms learns; a logistic scaling
@@ -17,6 +17,7 @@ rows are scored each; labels of a repeated doc_id are averaged, and ties count a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ from . import shared as S
 
 FIT_ROWS = 20_000
 HELD_OUT, FOLDS, THRESHOLD = 2, 4, 0.3
-#: Terms with the strongest association, either way, and voters among them.
-TERMS, VOTERS = 1500, 300
-PREFIXES = (4, 5, 6)
+#: Terms with the strongest association, either way, voters among them, and the log likelihood ratio that a term needs.
+TERMS, VOTERS, EVIDENCE = 1500, 300, 20.0
+PREFIXES = (4, 5, 6, 7)
+#: So many different words with one beginning are a term of their own.
+MANY = (2, 3, 5)
 WORD = re.compile(r"[^\W\d_]+")
 #: Further voters. Fixed values.
 PATTERNS = {"!shout": re.compile(r"\b[A-Z]{4,}\b.*!{2}"), "!censored": re.compile(r"\b[A-Za-z]+[*@#$]{2,}[A-Za-z]*\b"), "!youare": re.compile(r"\byou(?:'re| are) (?:an? )?[a-z]+", re.I)}
@@ -42,9 +45,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def terms(text: str) -> set[str]:
-    """Words and word beginnings (with a final ~) of one text."""
+    """Words, word beginnings (with a final ~), numbers of words with one beginning and patterns that a text has."""
     words = set(WORD.findall(text.lower()))
-    return words | {f"{w[:n]}~" for w in words for n in PREFIXES if len(w) > n}
+    begins = Counter(f"{w[:n]}~" for w in words for n in PREFIXES if len(w) > n)
+    return words | set(begins) | {f"{t}{m}" for t, k in begins.items() if k > 1 for m in MANY if k >= m} | {name for name, pattern in PATTERNS.items() if pattern.search(text)}
 
 
 def _term_rows(texts: DataFrame) -> DataFrame:
@@ -74,23 +78,27 @@ class Model:
 
     def __init__(self, names: list[str], weights: np.ndarray, bias: float) -> None:
         self.names, self.weights, self.bias = names, weights, bias
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.index = {n: i for i, n in enumerate(names)}
+        self.counted = {n.rstrip("0123456789") for n in names if n[-1].isdigit()}
+        self.words: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
 
     def features(self, text: str) -> list[int]:
         """Numbers of the model's terms in a text."""
-        index = self.__dict__.setdefault("index", {n: i for i, n in enumerate(self.names)})
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        out, words = set(), self.words
+        out, begins, words, index = set(), [], self.words, self.index
         for w in set(WORD.findall(text.lower())):
             got = words.get(w)
             if got is None:
-                got = words[w] = tuple(index[t] for t in (w, *(f"{w[:n]}~" for n in PREFIXES if len(w) > n)) if t in index)
-            if got:
-                out.update(got)
-        for name, pattern in PATTERNS.items():
-            if name in index and pattern.search(text):
-                out.add(index[name])
+                own = [f"{w[:n]}~" for n in PREFIXES if len(w) > n]
+                got = words[w] = tuple(index[t] for t in (w, *own) if t in index), tuple(t for t in own if t in self.counted)
+            if got[0]:
+                out.update(got[0])
+            if got[1]:
+                begins += got[1]
+        for t, k in Counter(begins).items():
+            out.update(index[f"{t}{m}"] for m in MANY if k >= m and f"{t}{m}" in index)
+        out.update(index[name] for name, pattern in PATTERNS.items() if name in index and pattern.search(text))
         return sorted(out)
 
     def score(self, text: str) -> float:
@@ -147,12 +155,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return Model([], np.zeros(0), -40.0)
-    rate = (F.col("toxic") + 0.5) / (pos + 1), (F.col("clean") + 0.5) / (neg + 1)
     counted = _term_rows(texts.select("text", "toxic")).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean >= 3")
-    strength = F.abs(F.log(rate[0] / rate[1])) * F.sqrt(F.col("toxic") * (neg / pos) + F.col("clean"))
-    rows = counted.withColumn("odds", F.log(rate[0] / rate[1])).withColumn("strength", strength).orderBy(F.desc("strength"), "term").limit(TERMS).collect()
-    names = [r.term for r in rows] + list(PATTERNS)
-    voters = [i for i, r in enumerate(rows) if r.odds > 2 and r.toxic >= 3][:VOTERS] + list(range(len(rows), len(names)))
+    odds = F.log((F.col("toxic") + 0.5) / (pos + 1) / ((F.col("clean") + 0.5) / (neg + 1)))
+    share, base = F.col("toxic") / (F.col("toxic") + F.col("clean")), pos / (pos + neg)
+    part = lambda n, ratio: F.when(F.col(n) > 0, F.col(n) * F.log(ratio)).otherwise(0.0)
+    evidence = 2 * (part("toxic", share / base) + part("clean", (1 - share) / (1 - base)))
+    rows = counted.withColumn("odds", odds).withColumn("evidence", evidence).where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "term").limit(TERMS).collect()
+    names = [r.term for r in rows]
+    voters = [i for i, r in enumerate(rows) if r.odds > 2][:VOTERS]
     model = Model(names, np.zeros(len(names)), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +176,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not len(truth):
         return Model([], np.zeros(0), -40.0)
     spot = {v: k for k, v in enumerate(voters)}
-    votes = np.zeros((len(sets), len(voters) + 1))
+    votes = np.zeros((len(sets), len(voters) + 2))
     for i, s in enumerate(sets):
         for f in s:
             if f in spot:
                 votes[i, spot[f]] = 1
-    votes[:, -1] = votes[:, :-1].sum(1) == 0  # the absence voter
+    votes[:, -1] = votes[:, :-2].sum(1) == 0  # the absence voter
+    votes[:, -2] = truth  # the annotator is a voter, too
     posterior = label_model(votes, 0.1 + 0.8 * truth)
     weights, bias = fit_linear(sets, posterior, len(names))
     z = np.array([bias + weights[s].sum() for s in sets])
