@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SPANS = "(select user_id, event_id, event_type, value, epoch_us(ts) as s, epoch_us(ts) + 60000000 * (1 + event_id % 11) as e from events)"
-LINES = "(select l_orderkey as k, l_linenumber as n, l_quantity as q from lineitem)"
+LINES = "(select l_orderkey as k, l_linenumber as n, l_quantity as q, l_partkey as p, l_extendedprice as x from lineitem)"
 
 
 def query(sql: str | None):
@@ -192,11 +192,11 @@ def interval_subtract(spark, sf_dir):
     return intervals.subtract(a.where("event_id % 2 = 0"), a.where("event_id % 2 = 1"), "event_type", "s", "e")
 
 
-@query("with a as (select k, n, q, sum(q) over (partition by k) as total, sum(q) over (partition by k order by n rows unbounded preceding) as thru from {lines}) select k, n, round(1000.0 * (thru - q) / total, 6) as part_start, round(1000.0 * thru / total, 6) as part_end from a")
+@query("with a as (select k, n, p, q, sum(q) over (partition by k) as total, sum(q) over (partition by k order by n, p, x rows unbounded preceding) as thru from {lines}) select k, n, p, round(1000.0 * (thru - q) / total, 6) as part_start, round(1000.0 * thru / total, 6) as part_end from a")
 def stack_split_proportional(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")).withColumn("s", F.lit(0.0)).withColumn("e", F.lit(1000.0))
-    out = intervals.split_by_weight(rows, "k", "s", "e", "q", "n")
-    return out.select("k", "n", F.round("part_start", 6).alias("part_start"), F.round("part_end", 6).alias("part_end"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"), F.col("l_extendedprice").alias("x")).withColumn("s", F.lit(0.0)).withColumn("e", F.lit(1000.0))
+    out = intervals.split_by_weight(rows, "k", "s", "e", "q", ["n", "p", "x"])
+    return out.select("k", "n", "p", F.round("part_start", 6).alias("part_start"), F.round("part_end", 6).alias("part_end"))
 
 
 @query("select event_type, round(quantile_cont(value, 0.9), 6) as p90, count(*) as n, bool_and(value >= 0) as all_positive, quantile_cont(value, 0.9) >= 50 as supported from events group by event_type")
@@ -301,7 +301,7 @@ def reciprocal_edges(spark, sf_dir):
     return integrity.reciprocal(line.where("l_quantity > 25"), line.where("l_discount > 0.05"), "reciprocal", "l_suppkey", "l_partkey")
 
 
-@query("with r as (select user_id, event_id, event_type, row_number() over (partition by user_id order by s, event_id) as at, lag(event_type) over (partition by user_id order by s, event_id) as p from {spans}), f as (select *, sum(case when p is not distinct from event_type then 0 else 1 end) over (partition by user_id order by at rows unbounded preceding)::bigint as run from r) select user_id, run, event_type, min(at) as first, max(at) as last, count(*) as n from f group by all")
+@query("with r as (select user_id, event_id, event_type, row_number() over (partition by user_id order by s, event_id) as pos, lag(event_type) over (partition by user_id order by s, event_id) as p from {spans}), f as (select *, sum(case when p is not distinct from event_type then 0 else 1 end) over (partition by user_id order by pos rows unbounded preceding)::bigint as run from r) select user_id, run, event_type, min(pos) as first, max(pos) as last, count(*) as n from f group by all")
 def rle_collapse(spark, sf_dir):
     return islands.run_lengths(spans(spark, sf_dir), "user_id", "event_type", ["s", "event_id"])
 
