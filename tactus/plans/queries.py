@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import integrity, intervals, islands, selection
+from ..functions import kana, sequences
+from ..operators import decode, integrity, intervals, islands, selection
+from ..sources import scores
+from ..streaming import sessions
 
 MINUTE, HOUR = 60_000_000, 3_600_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,3 +329,111 @@ def grid_cells(spark, sf_dir):
 def credit_propagation(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("t", F.lower("text"))
     return islands.propagate(rows, "conv_id", "turn", F.contains("t", F.lit("idiot")) | (F.length("t") < 40), F.length("t") < 120).select("conv_id", "turn", "labelled")
+
+
+@query("select doc_id, lang, regexp_matches(text, '\\p{L}') and regexp_full_match(text, '(?s)(?:\\P{L}|\\p{Latin})*') as latin from documents")
+def latin_text_flag(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", kana.latin_only(F.col("text")).alias("latin"))
+
+
+FAMILIES = {"license": r"released under the .* licen[sc]e\.?", "greeting": r"(?:hello|hi|welcome)\b.*", "shout": r"[^a-z]*!![^a-z]*"}
+
+
+@query(
+    "with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), c as (select doc_id, case when regexp_full_match(lower(line), 'released under the .* licen[sc]e\\.?') then 'license' when regexp_full_match(lower(line), '(?:hello|hi|welcome)\\b.*') then 'greeting' when regexp_full_match(line, '[^a-z]*!![^a-z]*') then 'shout' end as family from l) select doc_id, family, count(*) as n from c where family is not null group by all"
+)
+def template_family(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    family = F.lit(None).cast("string")
+    for name, pattern in reversed(FAMILIES.items()):
+        family = F.when((F.col("line") if name == "shout" else F.lower("line")).rlike(f"^(?:{pattern})$"), name).otherwise(family)
+    return lines.select("doc_id", family.alias("family")).where("family is not null").groupBy("doc_id", "family").agg(F.count("*").alias("n"))
+
+
+@query(
+    "with l as (select distinct unnest(string_split(replace(lower(text), chr(10), ' '), ' ')) as line from documents), k as (select line, unnest(range(1, 17)) as k from l where length(line) > 0), g as (select line, max(k) as n from k where length(line) % k = 0 and repeat(substr(line, 1, (length(line) // k)::bigint), k) = line group by line) select md5(line) as line, n::int as n from g where n > 1"
+)
+def repeat_unit(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[ \n]")).alias("line")).where(F.length("line") > 0).distinct()
+    return words.withColumn("n", kana.repeat_unit(F.col("line"))).where("n > 1").select(F.md5(F.col("line").cast("binary")).alias("line"), "n")
+
+
+PAIRS = "(select d.doc_id, b.item_id, regexp_replace(substr(d.text, 1, 60), '[^ -~]', '', 'g') as x, regexp_replace(substr(b.text, 1, 60), '[^ -~]', '', 'g') as y from documents d join benchmark b on d.doc_id % 40 = b.item_id)"
+
+
+def pairs(spark, sf_dir):
+    ascii = lambda c: F.regexp_replace(F.substring(c, 1, 60), "[^ -~]", "")  # noqa: E731  DuckDB counts bytes
+    b = table(spark, sf_dir, "benchmark").select("item_id", ascii("text").alias("y"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), ascii("text").alias("x"))
+    return d.join(b, "item_id")
+
+
+@query(f"select doc_id, item_id, levenshtein(x, y)::int as distance from {PAIRS}")
+def edit_distance_pairs(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", "item_id", F.levenshtein("x", "y").alias("distance"))
+
+
+@query(f"select doc_id, item_id, round(levenshtein(x, y) / greatest(length(x), length(y), 1), 9) as distance from {PAIRS}")
+def normalized_distance(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", "item_id", F.round(sequences.normalized_distance(F.col("x"), F.col("y")), 9).alias("distance"))
+
+
+STAMPS = "with c as (select event_id, greatest(round_even(value * 1000, 0)::bigint, 0) as ms from events)"
+
+
+@query(STAMPS + " select event_id, case when ms // 3600000 < 100 then lpad((ms // 3600000)::varchar, 2, '0') else (ms // 3600000)::varchar end || ':' || lpad((ms // 60000 % 60)::varchar, 2, '0') || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || ',' || lpad((ms % 1000)::varchar, 3, '0') as cue from c")
+def srt_cues(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scores.stamp(F.col("value"), True).alias("cue"))
+
+
+@query(STAMPS + " select event_id, case when ms // 60000 < 100 then lpad((ms // 60000)::varchar, 2, '0') else (ms // 60000)::varchar end || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || '.' || lpad((ms // 10 % 100)::varchar, 2, '0') as cue from c")
+def lrc_cues(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scores.stamp(F.col("value"), False).alias("cue"))
+
+
+@query('with g as (select user_id, event_id, s from {spans}), o as (select *, lag(s) over (partition by user_id order by s, event_id) as b from g), f as (select *, sum(case when b is null or s > b + 3600000000 then 1 else 0 end) over (partition by user_id order by s, event_id rows unbounded preceding) as r from o) select user_id, min(s) as "start", max(s) as "end", count(*) as n from f group by user_id, r')
+def session_runs(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({c} as timestamp_ntz))").alias(c)
+    return sessions.sessions(rows, "user_id", "ts", "1 hour", "1 day").select("user_id", micros("start"), micros("end"), "n")
+
+
+@query("with t as (select event_type, stddev_pop(value) as sd from events group by all), e as (select event_id, event_type, value, lag(value) over w as b, lead(value) over w as a from events window w as (partition by event_type order by ts, event_id)) select event_type, count(*) as peaks from e where value > b and value >= a group by all")
+def local_peaks(spark, sf_dir):
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("b", F.lag("value").over(w)).withColumn("a", F.lead("value").over(w))
+    return rows.where((F.col("value") > F.col("b")) & (F.col("value") >= F.col("a"))).groupBy("event_type").agg(F.count("*").alias("peaks"))
+
+
+@query("select l_orderkey, l_partkey from lineitem where l_returnflag = 'R' except select l_orderkey, l_partkey from lineitem where l_discount > 0.08")
+def set_difference(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    return line.where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").subtract(line.where("l_discount > 0.08").select("l_orderkey", "l_partkey"))
+
+
+@query("select l_orderkey, l_partkey from lineitem where l_returnflag = 'R' intersect select l_orderkey, l_partkey from lineitem where l_discount > 0.08")
+def set_intersection(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    return line.where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").intersect(line.where("l_discount > 0.08").select("l_orderkey", "l_partkey"))
+
+
+@query("select l_returnflag, l_linestatus, sum(l_quantity) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem group by rollup (l_returnflag, l_linestatus)")
+def rollup_totals(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query(None)
+def decode_note_runs(spark, sf_dir):
+    """Users' events as phrases: every third event is a unit, every event a note."""
+    base = spans(spark, sf_dir).where("user_id < 40").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("s", "event_id"))).withColumn("phrase_id", F.floor((F.col("pos") - 1) / 6))
+    first = F.min("s").over(Window.partitionBy("user_id", "phrase_id"))
+    rows = base.withColumn("t", (F.col("s") - first) / HOUR).withColumn("doc_id", F.col("user_id").cast("string"))
+    notes = rows.select("doc_id", "phrase_id", "pos", F.col("t").alias("start_sec"), (F.col("t") + 0.2).alias("end_sec"), (60 + F.col("event_id") % 5).cast("int").alias("pitch"))
+    units = rows.where("pos % 3 = 1").select("doc_id", "phrase_id", "pos", (F.col("t") + 0.01).alias("onset"))
+    return decode.decode_phrases(units, notes)
+
+
+@query(None)
+def block_similarity(spark, sf_dir):
+    near = pairs(spark, sf_dir).where(F.least(F.length("x"), F.length("y")) * 2 >= F.greatest(F.length("x"), F.length("y")))
+    return near.select("doc_id", "item_id", F.round(sequences.similarity("x", "y"), 9).alias("ratio"))
