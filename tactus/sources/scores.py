@@ -131,7 +131,7 @@ def ust(slots: list[tuple[int, int, int, str]]) -> str:
     return "\n".join([*out, "[#TRACKEND]\n"])
 
 
-@F.udf("binary")
+@F.udf(T.BinaryType())
 def midi_bytes(slots) -> bytes:
     """midi() of an array of structs (start_sec, end_sec, midi_pitch, kana, continuation)."""
     return midi(sorted((s.start_sec, s.end_sec, s.midi_pitch, s.kana, s.continuation) for s in slots))
