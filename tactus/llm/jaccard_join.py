@@ -77,6 +77,8 @@ def allocate(low: int, high: int, percent: int) -> tuple[int, int]:
 
 
 def _schemes(n: int, percent: int) -> list[tuple[int, int, int]]:
+    if not n:
+        return []
     first = bands(percent, max(1024, 1 << n.bit_length()))
     k = int(np.searchsorted(first, n, "right")) - 1
     out = [(k, *allocate(first[k], first[k + 1], percent))]

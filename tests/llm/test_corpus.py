@@ -1,0 +1,340 @@
+"""Corpus operators against brute force, exact round trips, held-out labels, and on awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tactus.llm import decontam, host_rules, jaccard_join, line_dedup, pieces, pii, queries, quotes, shared, token_file, toxicity, url_cascade
+
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, sig long"
+ODD = ["", None, " ", "\n\n", "x", "Ünïcödé 日本 \U0001f3b5 a\u0301", "a " * 40_000, "\x00\x0b\x0c"]
+
+
+def frame(spark, texts, ids=None, sources=None):
+    rows = [(i if ids is None else ids[i], t, "en", (sources or [f"src{k % 3}" for k in range(len(texts))])[i], len(t or ""), "clash", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(rng.choice(["", "w", "th", "er"]) + f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{'xyz'[k % 3]}" for k in (rng.randrange(vocabulary) for _ in range(n)))
+
+
+def sets_of(texts, width):
+    out = []
+    for t in texts:
+        w = WORDS.findall((t or "").translate(LOWER))
+        out.append(frozenset([tuple(w)] if 0 < len(w) < width else zip(*(w[i:] for i in range(width)))))
+    return out
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_groups(spark, width, percent):
+    rng = random.Random(width)
+    texts = list(ODD)
+    for _ in range(12):
+        base = prose(rng, rng.choice([2, 8, 30, 120, 400])).split()
+        for _ in range(rng.randint(1, 14)):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = "changed" + str(rng.randrange(5))
+            texts.append(" ".join(t))
+    sets = sets_of(texts, width)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame(spark, texts), width, percent).collect()}
+    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def test_signatures_keep_the_pigeonhole():
+    rng = np.random.default_rng(3)
+    for percent in (80, 90):
+        for n in [*range(2, 80), 150, 700]:
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            for _ in range(3):
+                b = np.delete(a, rng.choice(len(a), rng.integers(0, max(1, len(a) * (100 - percent) // 100) + 1), replace=False))
+                b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, rng.integers(0, 1 + len(a) // 20), dtype=np.uint64)]))
+                common = len(np.intersect1d(a, b))
+                if len(b) and common >= jaccard_join.required(len(a), len(b), percent) and not np.array_equal(a, b):
+                    assert len(np.intersect1d(jaccard_join.signatures(a, percent), jaccard_join.signatures(b, percent)))
+
+
+def test_word_hashes_split_like_the_rule():
+    texts = ["A bc\tD", "", "  x ", "y", "\n", "bc", "ÄB ab"]
+    flat = []
+    for _, raw, offsets in shared.chunks(pa.array(texts), 4):
+        h, _, _, at = shared.word_hashes(raw, offsets)
+        flat += [h[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    words = [WORDS.findall(t.translate(LOWER)) for t in texts]
+    assert [len(x) for x in flat] == [len(w) for w in words]
+    seen = {}
+    for w, h in zip(sum(words, []), sum(flat, []), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_host_counts(spark):
+    rng = random.Random(4)
+    texts = list(ODD) + [prose(rng, 60, 8), "a b c d e f g h a b c d e f g h i", "x\nx\n\n y\nx", "### $5 <b>|&%*"] + [" ".join(rng.choice("ab") for _ in range(rng.randint(5, 40))) for _ in range(30)]
+    got = {r.doc_id: r for r in host_rules.judge(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = WORDS.findall(t or "")
+        seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)), i
+        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+        assert not (r.base_failed and r.kept)
+
+
+def test_hosts_are_rejected_and_shrunk(spark):
+    rng = random.Random(9)
+    good, bad = prose(rng, 40, 300), "### " * 40
+    texts = [good] * 60 + [bad] * 60 + [bad]
+    sources = ["good"] * 60 + ["bad"] * 60 + [None]
+    rows = {r.host: r.rejected for r in host_rules.judge(frame(spark, texts, sources=sources)).select("host", "rejected").distinct().collect()}
+    assert rows["good"] is False and rows["bad"] is True
+
+
+def test_pieces_are_the_librarys(spark):
+    import sentencepiece
+
+    file = queries.tokenizer(queries.PIECES)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=file), pieces.Pieces(file)
+    rng = random.Random(7)
+    texts = [t or "" for t in ODD] + ["".join(rng.choice("abehinort  \n\té▁.日!") for _ in range(rng.randint(0, 50))) for _ in range(800)]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t), repr(t)[:80]
+        assert own.decode(ids) == library.decode(library.encode(t))
+    rows = pieces.encoded_and_back(frame(spark, ODD), file).collect()
+    assert all(r.same for r in rows) and rows[1].n_tokens == 0
+
+
+def test_token_file(spark):
+    from tokenizers import Tokenizer
+
+    file = queries.tokenizer(queries.WORD_BPE)
+    rng = random.Random(8)
+    texts = list(ODD) + ["".join(rng.choice("abIt's'll'dé\u0301 \n\t\x1c\u2003İΣσ1234.!?日本") for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    folder = shared.new_path(spark, "test-tokens")
+    manifest = token_file.write(frame(spark, texts, ids), folder, file, length=64)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_file.read(spark, folder, manifest).collect()}
+    library, start, flat = Tokenizer.from_file(file), 0, []
+    for i, t in sorted(zip(ids, texts, strict=True)):
+        own = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (start, len(own), zlib.crc32(own.tobytes()))
+        start += len(own)
+        flat.append(own)
+    first = manifest.orderBy("shard").first()
+    tokens, mask = token_file.sequence(folder, first.path, 0)
+    assert len(tokens) == len(mask) == 64 and tokens.to_pylist() == np.concatenate(flat)[:64].tolist()
+
+
+def test_pii_base_is_the_rules():
+    rng = random.Random(10)
+    bits = ["a.b", "@", "x-y", ".com", " ", "+1 (319) 555-5132", "4425414259157784", "10.0.0.1", "300.1.1.1", "1.2.3.4.5", "é", "4111 1111 1111 1111", "+", "0" * 30, "\n", "@@", "-"]
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(2000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        want = [("email", *m.span()) for m in email.finditer(t)]
+        want += [("ip", *m.span()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+        want += [("card", *m.span()) for m in pii.CARD.finditer(t) if 13 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and pii.luhn(d)]
+        want += [("phone", *m.span()) for m in pii.PHONE.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        assert pii.base_spans(t) == want, t
+
+
+def test_pii_model_and_digest(spark):
+    text = "call: (319) 555-5132, john [at] mail dot com, ssn 123-45-6789, version 1.2.3; a.b@c.de"
+    rows = pii.digest(pii.spans(frame(spark, [text, None, "plain words only", "9" * 50_000]))).orderBy("doc_id").collect()
+    assert rows[0].n_email == 1 and {s.split(":")[0] for s in rows[0].spans.split(",")} == {"email", "phone", "ssn"}
+    at = text.index("a.b@c.de")
+    assert rows[0].base_sha256 == hashlib.sha256(f"email:{at}:{at + 8}".encode()).hexdigest()
+    assert rows[1].spans == rows[2].spans == "" and rows[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+    rest = pii.examples(3, 600)
+    trees, (a, b), thresholds = pii.model()
+    chosen = [r[4] for r in rest if 1 / (1 + np.exp(-(a * trees.raw(pii.features(*r[:4])) + b))) >= thresholds[r[1]]]
+    assert np.mean(chosen) > 0.9 and sum(chosen) > 0.8 * sum(r[4] for r in rest)
+    assert pii.redact("ab cd", [("x", 0, 2), ("y", 1, 2)]) == "<x> cd"
+
+
+def test_decontamination(spark):
+    rng = random.Random(11)
+    items = [prose(rng, n) for n in (3, 5, 12, 30, 30, 59)]
+    texts, want = list(ODD), set()
+    for k, item in enumerate(items):
+        want.add((len(texts), k))
+        texts.append(f"{prose(rng, 40, 900)} {item.upper()} {prose(rng, 30, 900)}")
+    trimmed = items[5].split()[2:]
+    want.add((len(texts), 5))
+    texts += [f"{prose(rng, 9, 900)} {' '.join(trimmed)}", " ".join(items[5].split()[:20])]
+    texts += [prose(rng, 200, 900) for _ in range(20)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(50, None), (51, " ")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, texts), bench).collect()}
+    assert want <= found
+    for d, k in found - want:  # other findings hold the item by the measure itself
+        h = [decontam.words_of([x])[0] for x in (texts[d], items[k])]
+        assert max(decontam.Index([(k, items[k])]).similarity(0, h[0][0][i : i + len(h[1][0])], h[0][1][i : i + len(h[1][0])]) for i in range(len(h[0][0]))) >= 0.8
+    assert decontam.leaks(frame(spark, texts), bench.limit(0)).count() == 0
+    assert decontam.drop_leaks(frame(spark, texts), bench).columns == frame(spark, texts).columns
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    rows = toxicity.score(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    pos, neg = [[r.score for r in rows if r.toxic == k] for k in (1, 0)]
+    assert np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]) > 0.8
+    assert {r.held_out for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2} == {True}
+    odd = toxicity.score(frame(spark, ODD), labels.limit(0)).collect()
+    assert len(odd) == len(ODD) and all(r.score < 0.01 for r in odd)
+
+
+def test_url_rules(spark):
+    urls = ["http://A.Example.org/es/1", "https://example.org/en/12?x", "https://www.example.org/en/2", "ftp://x.com/fr/y#z", "x.com/de/", None, "http://x.com/de/a", "http://com", "http://notexample.org/es/", "http://spam-farm.net/q", "http://h/a://b"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1))
+    got = {r.page_id: r for r in url_cascade.judge(pages).collect()}
+    for i, url in enumerate(urls):
+        _, cut, rest = (url or "").partition("://")
+        host = re.split("[/?#]", rest)[0] if cut else ""
+        path = re.split("[?#]", rest[len(host) :])[0] if cut else ""
+        host = host.translate(LOWER)
+        fits = [(len(r), k, r) for k, r in url_cascade.RULES for h, p in [(r[: r.index("/")], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        want = (host, path, best and best[2], best[1] if best else "block" if "spam-farm" in host else "allow")
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == want
+
+
+def test_cascade_is_exact(spark):
+    on = {f"k{i}" for i in range(0, 300, 3)}
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(3000)], "key string")
+    levels = url_cascade.cascade(keys, 3000, on)
+    assert {f"k{i}" for i in range(3000) if url_cascade.listed(levels, f"k{i}")} == on and len(levels) > 1
+
+
+def test_line_dedup(spark):
+    rng = random.Random(12)
+    line = prose(rng, 40, 300)
+    near = line.replace(" ", "  ", 3).upper() + "!"
+    texts = [f"{line}\n\n{prose(rng, 30, 300)}", f"own first\n{near}\nown last", line, *ODD]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    assert got[0].text == texts[0] and got[1].text == "own first\nown last" and got[2].text == "" and got[1].n_chars == 18
+    assert got[4].text is None and set(line_dedup.dedup(docs).columns) == set(docs.columns)
+    kept = {r.doc_id: list(r.kept) for r in line_dedup.decisions(docs).collect()}
+    assert kept[0] == [0, 2] and kept[1] == [0, 2] and kept[2] == []
+    null = frame(spark, [line, line], ids=[None, 1])
+    assert sorted(r.text for r in line_dedup.dedup(null).collect()) == [line, line]
+
+
+def test_line_links_are_the_definition(spark):
+    rng = random.Random(13)
+    base = [prose(rng, 35, 200) for _ in range(6)]
+    lines = []
+    for b in base:
+        for _ in range(25):
+            w = b.split()
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = prose(rng, 1, 200)
+            lines.append(" ".join(w))
+    docs = frame(spark, lines)
+    fp = {r.doc_id: r.fp for r in line_dedup.fingerprints(docs).collect()}
+    lev = {(r.a, r.b): r.d for r in docs.alias("x").crossJoin(docs.alias("y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.levenshtein("x.text", "y.text").alias("d")).collect()}
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(lines)):
+        for j in range(i):
+            same = lines[i] == lines[j]
+            if same or (((fp[i] ^ fp[j]) & (2**64 - 1)).bit_count() <= 3 and lev[i, j] * 100 <= 20 * max(len(lines[i]), len(lines[j]))):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    kept = {r.doc_id for r in line_dedup.decisions(docs).collect() if len(r.kept)}
+    assert kept == {i for i in range(len(lines)) if find(i) == i}
+
+
+def test_simhash(spark):
+    rng = random.Random(14)
+    rows = [(n, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for n in (1, 2, 63, 64, 300, 16383, 16384)]
+    got = {r.n: r.f for r in spark.createDataFrame(rows, "n int, h array<long>").select("n", line_dedup.simhash(F.col("h")).alias("f")).collect()}
+    for n, h in rows:
+        assert got[n] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "user", "Where is it?\nTell me more."),
+        (1, 1, "assistant", "In the box."),
+        (1, 2, "user", "> where is IT\nStill looking"),
+        (1, 3, "user", "> > where is it\n> still looking\nFound"),
+        (1, 4, "user", "go on"),
+        (2, 0, "user", None),
+        (2, 1, "user", "> nobody said this\nok"),
+        (None, 0, "user", "x"),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(messages).collect()}
+    assert [got[1, t].parent for t in range(5)] == [None, 0, 0, 2, 3]
+    assert [got[1, t].branch for t in range(5)] == [0, 0, 2, 2, 2]
+    assert [got[1, t].clean for t in (2, 3)] == ["Still looking", "Found"] and got[2, 1].parent == 0 and got[2, 1].n_linked == 0
+    assert got[2, 0].text is None and got[None, 0].parent is None and len(got) == len(rows)
+    assert quotes.conversations(messages.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(15)
+    edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in shared.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+
+
+@pytest.mark.parametrize("name", ["jaccard", "lines", "pii", "host", "tokens", "leaks"])
+def test_empty_tables(spark, name):
+    docs = frame(spark, ["x"]).limit(0)
+    file = queries.tokenizer(queries.WORD_BPE)
+    folder = shared.new_path(spark, "empty")
+    run = {
+        "jaccard": lambda: jaccard_join.keep_one(docs),
+        "lines": lambda: line_dedup.dedup(docs),
+        "pii": lambda: pii.spans(docs),
+        "host": lambda: host_rules.judge(docs),
+        "tokens": lambda: token_file.read(spark, folder, token_file.write(docs, folder, file)),
+        "leaks": lambda: decontam.leaks(docs, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")),
+    }[name]
+    assert run().count() == 0
