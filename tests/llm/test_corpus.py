@@ -282,9 +282,26 @@ def test_line_links_are_the_definition(spark):
 def test_simhash(spark):
     rng = random.Random(14)
     rows = [(n, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for n in (1, 2, 63, 64, 300, 16383, 16384)]
-    got = {r.n: r.f for r in spark.createDataFrame(rows, "n int, h array<long>").select("n", line_dedup.simhash(F.col("h")).alias("f")).collect()}
-    for n, h in rows:
-        assert got[n] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+    df = spark.createDataFrame(rows, "n int, h array<long>")
+    for width in (8, 16, 32):
+        got = {r.n: r.f for r in df.where(F.col("n") < 1 << (width - 2)).select("n", line_dedup.simhash(F.col("h"), width).alias("f")).collect()}
+        assert len(got) >= 3
+        for n, h in rows:
+            assert n not in got or got[n] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+
+
+def test_fingerprints_are_simhashes(spark):
+    rng = random.Random(16)
+    texts = [" ".join(f"word{rng.randrange(500)}" for _ in range(n)) for n in (1, 2, 40, 200)] + ["a bc", "word7 " * 20_000]
+    rows = line_dedup.fingerprints(frame(spark, texts))
+    got = {r.doc_id: r.fp for r in rows.collect()}
+    words = spark.createDataFrame([(i, w) for i, t in enumerate(texts) for w in t.split() if len(w) > line_dedup.SHORT], "i long, w string")
+    hashes = {}
+    for r in words.select("i", F.xxhash64("w").alias("h")).collect():
+        hashes.setdefault(r.i, []).append(r.h)
+    for i, h in hashes.items():
+        assert got[i] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert len(got) == len(texts)
 
 
 def test_quotes(spark):
