@@ -29,12 +29,11 @@ from . import shared as S
 
 #: Sizes of a band reach up to this multiple of its smallest.
 BAND = 1.5
-#: Rows for which the allocation weighs signatures against chance candidates.
-DESIGN_ROWS = 1 << 30
 U64 = np.uint64
 #: 64-bit words of the sketch that pairs are compared by.
 WIDE = 16
-TABLE = "doc_id long, n_shingles long, k1 long, k2 long, sketch long, wide array<long>, sigs array<long>"
+TABLE = "doc_id long, n_shingles long, k1 long, k2 long, wide array<long>"
+ENTRIES = "sig long, id long, sketch long, n_shingles long"
 
 
 def required(a: int, b: int, percent: int) -> int:
@@ -56,52 +55,62 @@ def bands(percent: int, up_to: int) -> tuple[int, ...]:
 
 
 @lru_cache(None)
-def allocate(low: int, high: int, percent: int) -> tuple[int, int]:
-    """Numbers (exact, deletion) of segments for pairs whose smaller set has a size in [low, high).
+def allocate(low: int, high: int, percent: int, rows: int) -> tuple[int, int, int]:
+    """Numbers (exact, deletion, spare) of segments for pairs whose smaller set has a size in [low, high).
 
-    A segment that is equal or not accounts for one difference, one with deletions for two; together they must exceed the
-    largest difference. Cost: signatures of a set plus chance partners, where unrelated sets share what both lack.
+    A failing exact segment has a difference at least, a failing one with deletions two; exact + 2 * deletion exceeds the largest
+    difference by 1 + spare, so segments of that weight agree. A set whose (nearly) empty segments weigh `spare` at most need not
+    meet others in empty segments, which any set may lack. Cost: signatures of a set plus chance partners among `rows` sets.
     """
     most = max(most_difference(high - 1, x, percent) for x in (high - 1, (high - 1) * 100 // percent))
     if most == 0:
-        return 0, 0  # only equal sets
+        return 0, 0, 0  # only equal sets
     size, best = (low + high - 1) / 2, None
     for deletion in range((most + 2) // 2 + 1):
-        exact = max(0, most + 1 - 2 * deletion)
+        spare = 0
+        for _ in range(3):
+            exact = max(0, most + 1 + spare - 2 * deletion)
+            w = size / (exact + deletion)
+            empty = exact * math.exp(-w) + 2 * deletion * math.exp(-w) * (1 + w)
+            spare = math.ceil(empty + 2 * math.sqrt(empty))
+        exact = max(0, most + 1 + spare - 2 * deletion)
         w = size / (exact + deletion)
-        chance = DESIGN_ROWS / 20 * 0.01 * math.exp(-2 * w)
+        chance = rows / 20 * 0.01 * math.exp(-2 * w)
         cost = exact * (1 + chance) + deletion * (1 + w) * (1 + chance * (1 + 2 * w))
         if best is None or cost < best[0]:
-            best = cost, exact, deletion
+            best = cost, exact, deletion, exact + 2 * deletion - most - 1
     return best[1:]
 
 
-def _schemes(n: int, percent: int) -> list[tuple[int, int, int]]:
+def _schemes(n: int, percent: int, rows: int) -> list[tuple[int, int, int, int]]:
     if not n:
         return []
     first = bands(percent, max(1024, 1 << n.bit_length()))
     k = int(np.searchsorted(first, n, "right")) - 1
-    out = [(k, *allocate(first[k], first[k + 1], percent))]
+    out = [(k, *allocate(first[k], first[k + 1], percent, rows))]
     if k and n <= (first[k] - 1) * 100 // percent:
-        out.append((k - 1, *allocate(first[k - 1], first[k], percent)))
+        out.append((k - 1, *allocate(first[k - 1], first[k], percent, rows)))
     return [x for x in out if x[1] + x[2]]
 
 
-def signatures(h: np.ndarray, percent: int) -> np.ndarray:
+def signatures(h: np.ndarray, percent: int, rows: int) -> np.ndarray:
     """Signatures of one sorted set of hashes: sums over ranges of the hash universe, and the sums less one element."""
     out = []
     elements = S.mix(h ^ U64(0x5851F42D4C957F2D))
     total = np.concatenate([np.zeros(1, U64), np.cumsum(elements, dtype=U64)])
-    for k, exact, deletion in _schemes(len(h), percent):
+    for k, exact, deletion, spare in _schemes(len(h), percent, rows):
         m = exact + deletion
         edges = np.array([(i << 64) // m for i in range(1, m)], U64)
         at = np.concatenate([[0], np.searchsorted(h, edges, "left"), [len(h)]]).astype(np.int64)
+        held = np.diff(at)
         tag = S.mix(np.arange(m, dtype=U64) + U64(((k << 24) + 1) << 16))
         sums = total[at[1:]] - total[at[:-1]]
-        out.append(S.mix(sums + tag))
-        if deletion:
-            seg = np.repeat(np.arange(exact, m), np.diff(at)[exact:])
-            out.append(S.mix(sums[seg] - elements[at[exact] :] + tag[seg]))
+        seg = np.repeat(np.arange(exact, m), held[exact:])
+        tags, values = np.concatenate([tag, tag[seg]]), np.concatenate([sums, sums[seg] - elements[at[exact] :]])
+        if np.count_nonzero(held[:exact] == 0) + 2 * np.count_nonzero(held[exact:] <= 1) <= spare:
+            some = np.concatenate([held > 0, held[seg] > 1])
+            tags, values = tags[some], values[some]
+        out.append(S.mix(values + tags))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
@@ -111,28 +120,34 @@ def parity_sketch(h: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _tables(width: int, percent: int):
+def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sorted sets) of slices of a text column."""
+    for first, raw, offsets in S.chunks(column):
+        hashes, _, _, at = S.word_hashes(raw, offsets)
+        yield first, [S.shingles(hashes[a:b], width) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _tables(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, raw, offsets in S.chunks(batch.column(1)):
-                hashes, _, _, at = S.word_hashes(raw, offsets)
-                rows = [S.shingles(hashes[at[i] : at[i + 1]], width) for i in range(len(at) - 1)]
-                sigs = [signatures(h, percent) for h in rows]
-                ends = np.cumsum([0, *map(len, sigs)], dtype=np.int32)
+            for first, rows in _sets(batch.column(1), width):
                 keys = np.array([(int(S.mix(h).sum(dtype=U64)), int(S.mix(h * U64(3) + U64(1)).sum(dtype=U64))) if len(h) else (0, 0) for h in rows], U64).view(np.int64)
-                yield pa.record_batch(
-                    [
-                        ids.slice(first, len(rows)),
-                        pa.array([len(h) for h in rows], pa.int64()),
-                        pa.array(keys[:, 0]),
-                        pa.array(keys[:, 1]),
-                        pa.array(np.concatenate([parity_sketch(h) for h in rows])),
-                        pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([parity_sketch(h, WIDE) for h in rows])), WIDE).cast(pa.list_(pa.int64())),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64) if sigs else [], pa.int64())),
-                    ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "sketch", "wide", "sigs"],
-                )
+                wide = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([parity_sketch(h, WIDE) for h in rows])), WIDE).cast(pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column(0).slice(first, len(rows)), pa.array([len(h) for h in rows], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), wide], names=["doc_id", "n_shingles", "k1", "k2", "wide"])
+
+    return run
+
+
+def _entries(width: int, percent: int, n_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, rows in _sets(batch.column(1), width):
+                sigs = [signatures(h, percent, n_rows) for h in rows]
+                n = [len(x) for x in sigs]
+                sketch = np.concatenate([parity_sketch(h) for h in rows])
+                columns = (np.concatenate(sigs).view(np.int64), np.repeat(ids[first : first + len(rows)], n), np.repeat(sketch, n), np.repeat(np.array([len(h) for h in rows], np.int64), n))
+                yield pa.record_batch([pa.array(c) for c in columns], names=["sig", "id", "sketch", "n_shingles"])
 
     return run
 
@@ -140,10 +155,8 @@ def _tables(width: int, percent: int):
 def _verifier(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            for _, raw, offsets in S.chunks(column):
-                hashes, _, _, at = S.word_hashes(raw, offsets)
-                for i in range(len(at) - 1):
-                    yield S.shingles(hashes[at[i] : at[i + 1]], width)
+            for _, rows in _sets(column, width):
+                yield from rows
 
         last, known = None, None
         for batch in batches:
@@ -177,11 +190,13 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     itself for a set without elements.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = S.materialize(docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_tables(width, percent), TABLE), "ngram-sets")
+    table = S.materialize(docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_tables(width), TABLE), "ngram-sets")
     classes = table.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     own = S.materialize(table.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", "class_id"), "ngram-classes")
-    leaders = own.where("doc_id = class_id").select("doc_id", "n_shingles").distinct()
-    entries = table.join(leaders, ["doc_id", "n_shingles"], "left_semi").select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("id"), "sketch", "n_shingles")
+    leaders = own.where("doc_id = class_id").select("doc_id").distinct()
+    n_rows = 1 << leaders.count().bit_length()
+    texts = S.join_small(docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")), leaders, "doc_id", "left_semi")
+    entries = texts.mapInArrow(_entries(width, percent, n_rows), ENTRIES)
 
     def allowed(a: Column, b: Column) -> Column:  # largest difference of a link
         n = a["n_shingles"] + b["n_shingles"]

@@ -67,7 +67,7 @@ def test_jaccard_groups(spark, width, percent):
 
 def test_signatures_keep_the_pigeonhole():
     rng = np.random.default_rng(3)
-    for percent in (80, 90):
+    for percent, rows in ((80, 1 << 10), (80, 1 << 34), (90, 1 << 10), (90, 1 << 34)):
         for n in [*range(2, 80), 150, 700]:
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
             for _ in range(3):
@@ -75,7 +75,7 @@ def test_signatures_keep_the_pigeonhole():
                 b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, rng.integers(0, 1 + len(a) // 20), dtype=np.uint64)]))
                 common = len(np.intersect1d(a, b))
                 if len(b) and common >= jaccard_join.required(len(a), len(b), percent) and not np.array_equal(a, b):
-                    assert len(np.intersect1d(jaccard_join.signatures(a, percent), jaccard_join.signatures(b, percent)))
+                    assert len(np.intersect1d(jaccard_join.signatures(a, percent, rows), jaccard_join.signatures(b, percent, rows)))
 
 
 def test_word_hashes_split_like_the_rule():
