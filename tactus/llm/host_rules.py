@@ -91,14 +91,13 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     hosts agree nothing needs shrinking by more than 1000 documents.
     """
     sums = rows.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES))
-    moments = sums.agg(*(f(F.col(r) / F.col("n")).alias(f"{k}_{r}") for r in RULES for k, f in (("m", F.avg), ("v", F.var_pop))))
-    both = sums.crossJoin(F.broadcast(moments))  # one row
+    moments = sums.agg(*(f(F.col(r) / F.col("n")).alias(f"{k}_{r}") for r in RULES for k, f in (("m", F.avg), ("v", F.var_pop)))).first()
     shrunk = []
-    for r in RULES:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        weight = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), m * (1 - m) / v - 1))).otherwise(F.lit(1000.0))
+    for r in RULES:  # ten numbers, of all hosts
+        m, v = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0
+        weight = max(1.0, min(1000.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
         shrunk.append((F.col(r) + m * weight) / (F.col("n") + weight))
-    return both.select("host", F.greatest(*(F.coalesce(x, F.lit(0.0)) for x in shrunk), F.lit(0.0)).alias("worst_rate")).withColumn("rejected", F.col("worst_rate") > MOST)
+    return sums.select("host", F.greatest(*(F.coalesce(x, F.lit(0.0)) for x in shrunk), F.lit(0.0)).alias("worst_rate")).withColumn("rejected", F.col("worst_rate") > MOST)
 
 
 def judge(docs: DataFrame) -> DataFrame:
