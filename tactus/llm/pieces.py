@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
 #: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Pairs of pieces whose steps a worker remembers.
+STEPS = 400_000
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
@@ -57,7 +58,7 @@ class Pieces:
             for i in range(1, len(t)):
                 self.endings.setdefault(t[i:], False)
             self.endings[t] = self.merge(t) == [t]
-        self.possible: dict[tuple[str, str], bool] = {}
+        self.possible: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -75,10 +76,13 @@ class Pieces:
         return parts
 
     def step(self, p: str, t: str) -> bool:
-        key = (p, t)
+        i = self.id_of.get(p)
+        if i is None:  # an unknown character joins nothing
+            return True
+        key = i << 32 | self.id_of[t]
         known = self.possible.get(key)
         if known is None:
-            if len(self.possible) > 1_000_000:
+            if len(self.possible) >= STEPS:
                 self.possible.clear()
             known = self.possible[key] = self.merge(p + t) == [p, t]
         return known
@@ -144,7 +148,7 @@ def pieces(model_file: str) -> Pieces:
     return Pieces(model_file)
 
 
-def _slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of some MB, whole rows only."""
     sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
     at, ends = 0, np.cumsum(sizes)
@@ -185,6 +189,16 @@ def decode(rows: DataFrame, model_file: str, ids: str = "ids", decoded: str = "d
 
 
 def encoded_and_back(docs: DataFrame, model_file: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, decoded, same): same tells whether the decoded text is the text."""
-    rows = decode(encode(docs.select("doc_id", "text"), model_file), model_file)
-    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded", F.coalesce(F.col("decoded") == F.coalesce(F.col("text"), F.lit("")), F.lit(False)).alias("same"))
+    """Rows (doc_id, n_tokens, ids, decoded, same): same tells whether the decoded text is the text. One pass does both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(model_file)
+        for whole in batches:
+            for batch in _slices(whole, 1):
+                texts = batch.column(1).to_pylist()
+                ids = model.encode(texts)
+                decoded = [model.decode(x) for x in ids]
+                same = [d == (t or "") for d, t in zip(decoded, texts, strict=True)]
+                yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "decoded", "same"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids binary, decoded string, same boolean")
