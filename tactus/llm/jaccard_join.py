@@ -54,35 +54,46 @@ def bands(percent: int, up_to: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+#: Chance that a set has a given element of an unrelated one; enters the cost of an allocation only.
+COMMON = 0.05
+
+
 @lru_cache(None)
-def allocate(low: int, high: int, percent: int, rows: int) -> tuple[int, int, int]:
-    """Numbers (exact, deletion, spare) of segments for pairs whose smaller set has a size in [low, high).
+def allocate(low: int, high: int, percent: int, rows: int) -> tuple[int, int, int, int]:
+    """Numbers (exact, deletion, spare, least) of segments for pairs whose smaller set has a size in [low, high).
 
     A failing exact segment has a difference at least, a failing one with deletions two; exact + 2 * deletion exceeds the largest
-    difference by 1 + spare, so segments of that weight agree. A set whose (nearly) empty segments weigh `spare` at most need not
-    meet others in empty segments, which any set may lack. Cost: signatures of a set plus chance partners among `rows` sets.
+    difference by 1 + spare, so segments of that weight agree. A set whose segments of less than `least` elements (one more for
+    segments with deletions) weigh `spare` at most has an agreeing segment beside them and need not meet others in them, which
+    unrelated sets may easily share. Cost: signatures of a set plus chance partners among `rows` sets.
     """
     most = max(most_difference(high - 1, x, percent) for x in (high - 1, (high - 1) * 100 // percent))
     if most == 0:
-        return 0, 0, 0  # only equal sets
+        return 0, 0, 0, 0  # only equal sets
     size, best = (low + high - 1) / 2, None
+    poisson = lambda w, k: math.exp(k * math.log(w) - w - math.lgamma(k + 1))
     for deletion in range((most + 2) // 2 + 1):
-        spare = 0
-        for _ in range(3):
-            exact = max(0, most + 1 + spare - 2 * deletion)
-            w = size / (exact + deletion)
-            empty = exact * math.exp(-w) + 2 * deletion * math.exp(-w) * (1 + w)
-            spare = math.ceil(empty + 2 * math.sqrt(empty))
-        exact = max(0, most + 1 + spare - 2 * deletion)
-        w = size / (exact + deletion)
-        chance = rows / 20 * 0.01 * math.exp(-2 * w)
-        cost = exact * (1 + chance) + deletion * (1 + w) * (1 + chance * (1 + 2 * w))
-        if best is None or cost < best[0]:
-            best = cost, exact, deletion, exact + 2 * deletion - most - 1
+        for least in range(4):
+            spare, need = 0, 0
+            for _ in range(20):  # more segments hold less, so more of them are thin: not every choice settles
+                exact = max(0, most + 1 + spare - 2 * deletion)
+                w = size / (exact + deletion)
+                thin = exact * sum(poisson(w, k) for k in range(least)) + 2 * deletion * sum(poisson(w, k) for k in range(least + 1 if least else 0))
+                need = math.ceil(thin + 2 * math.sqrt(thin))
+                if need <= spare:
+                    break
+                spare = need
+            if need > spare or w < 1.5 and least:
+                continue
+            chance = rows / 20 * 0.01 * sum(poisson(w, k) ** 2 * COMMON**k for k in range(least, least + 4))
+            held = 1 - sum(poisson(w, k) for k in range(least))
+            cost = exact * (held + chance) + deletion * (held + w) * (1 + chance * (1 + 2 * w))
+            if best is None or cost < best[0]:
+                best = cost, exact, deletion, exact + 2 * deletion - most - 1, least
     return best[1:]
 
 
-def _schemes(n: int, percent: int, rows: int) -> list[tuple[int, int, int, int]]:
+def _schemes(n: int, percent: int, rows: int) -> list[tuple[int, int, int, int, int]]:
     if not n:
         return []
     first = bands(percent, max(1024, 1 << n.bit_length()))
@@ -98,7 +109,7 @@ def signatures(h: np.ndarray, percent: int, rows: int) -> np.ndarray:
     out = []
     elements = S.mix(h ^ U64(0x5851F42D4C957F2D))
     total = np.concatenate([np.zeros(1, U64), np.cumsum(elements, dtype=U64)])
-    for k, exact, deletion, spare in _schemes(len(h), percent, rows):
+    for k, exact, deletion, spare, least in _schemes(len(h), percent, rows):
         m = exact + deletion
         edges = np.array([(i << 64) // m for i in range(1, m)], U64)
         at = np.concatenate([[0], np.searchsorted(h, edges, "left"), [len(h)]]).astype(np.int64)
@@ -107,8 +118,8 @@ def signatures(h: np.ndarray, percent: int, rows: int) -> np.ndarray:
         sums = total[at[1:]] - total[at[:-1]]
         seg = np.repeat(np.arange(exact, m), held[exact:])
         tags, values = np.concatenate([tag, tag[seg]]), np.concatenate([sums, sums[seg] - elements[at[exact] :]])
-        if np.count_nonzero(held[:exact] == 0) + 2 * np.count_nonzero(held[exact:] <= 1) <= spare:
-            some = np.concatenate([held > 0, held[seg] > 1])
+        if np.count_nonzero(held[:exact] < least) + 2 * np.count_nonzero(held[exact:] < least + 1) <= spare:
+            some = np.concatenate([held >= least, held[seg] > least])
             tags, values = tags[some], values[some]
         out.append(S.mix(values + tags))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
