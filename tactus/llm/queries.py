@@ -54,7 +54,7 @@ def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.decisions(table(spark, sf_dir, "documents"))
+    rows = line_dedup.decisions(table(spark, sf_dir, "documents"), similar=True)
     return rows.select("doc_id", F.size("kept").alias("n_kept"), F.array_join("kept", ",").alias("kept_lines"))
 
 

@@ -279,6 +279,37 @@ def test_line_links_are_the_definition(spark):
     assert kept == {i for i in range(len(lines)) if find(i) == i}
 
 
+def test_similar_lines_are_found(spark):
+    rng = random.Random(17)
+    lines = []
+    for words in (1, 2, 3, 5, 8, 14, 40):
+        for _ in range(6):
+            base = " ".join(rng.choice(["a", "of", "to"]) if rng.random() < 0.3 else f"{rng.randrange(16**5):05x}" for _ in range(words))
+            lines.append(base)
+            for _ in range(4):
+                t = list(base)
+                for _ in range(max(1, words // 8)):  # words of which every character may change
+                    at = rng.randrange(len(t))
+                    for i in range(at, min(len(t), at + (1 if words < 4 else 4))):
+                        t[i] = "q" if t[i] != " " else " "
+                lines.append("".join(t))
+    docs = frame(spark, lines)
+    lev = docs.alias("x").crossJoin(docs.alias("y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.levenshtein("x.text", "y.text").alias("d"), F.greatest(F.length("x.text"), F.length("y.text")).alias("n"))
+    links = [(r.a, r.b) for r in lev.where("a < b and d * 100 <= 20 * n").collect()]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    kept = {r.doc_id for r in line_dedup.decisions(docs, similar=True).collect() if len(r.kept)}
+    assert len(links) > 100 and kept == {i for i in range(len(lines)) if find(i) == i}
+
+
 def test_simhash(spark):
     rng = random.Random(14)
     rows = [(n, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for n in (1, 2, 63, 64, 300, 16383, 16384)]
