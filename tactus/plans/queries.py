@@ -435,5 +435,8 @@ def decode_note_runs(spark, sf_dir):
 
 @query(None)
 def block_similarity(spark, sf_dir):
-    near = pairs(spark, sf_dir).where(F.least(F.length("x"), F.length("y")) * 2 >= F.greatest(F.length("x"), F.length("y")))
+    """Every document and item of which neither is more than twice as long, by their whole texts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("x"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("y"))
+    near = d.join(b, F.least(F.length("x"), F.length("y")) * 2 >= F.greatest(F.length("x"), F.length("y")))
     return near.select("doc_id", "item_id", F.round(sequences.similarity("x", "y"), 9).alias("ratio"))
