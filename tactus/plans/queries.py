@@ -425,7 +425,7 @@ def rollup_totals(spark, sf_dir):
 @query(None)
 def decode_note_runs(spark, sf_dir):
     """Users' events as phrases: every third event is a unit, every event a note."""
-    base = spans(spark, sf_dir).where("user_id < 40").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("s", "event_id"))).withColumn("phrase_id", F.floor((F.col("pos") - 1) / 6))
+    base = spans(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("s", "event_id"))).withColumn("phrase_id", F.floor((F.col("pos") - 1) / 6))
     first = F.min("s").over(Window.partitionBy("user_id", "phrase_id"))
     rows = base.withColumn("t", (F.col("s") - first) / HOUR).withColumn("doc_id", F.col("user_id").cast("string"))
     notes = rows.select("doc_id", "phrase_id", "pos", F.col("t").alias("start_sec"), (F.col("t") + 0.2).alias("end_sec"), (60 + F.col("event_id") % 5).cast("int").alias("pitch"))

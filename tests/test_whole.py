@@ -20,3 +20,11 @@ def test_block_similarity(spark, tmp_path):
     want = {(d, i): round(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio(), 9) for d, i, x, y in near}
     assert len(want) == 4 and {k: v for k, v in got.items() if v is not None} == want
     assert {k for k, v in got.items() if v is None} == {(d, i) for d, x in docs for i, y in items if (x is None) != (y is None)}
+
+
+def test_decode_note_runs(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 200").withColumn("user_id", F.col("user_id") + 35)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    sizes = {str(r.user_id): r["count"] for r in events.groupBy("user_id").count().collect()}
+    got = {(r.doc_id, r.phrase_id) for r in QUERIES["decode_note_runs"](spark, str(tmp_path)).collect()}
+    assert max(map(int, sizes)) >= 40 and got == {(u, k) for u, n in sizes.items() for k in range((n + 5) // 6)}
