@@ -1,9 +1,11 @@
 """Quotation linking: conversations without quotes, in reply order, as DataFrame expressions.
 
-A line's quote level is the number of > before its text. The normalised hash of a quoted line of level 1 is looked up among the
-unquoted lines of the same conversation's earlier messages; the latest earlier message that holds it is the line's origin. A
-message replies to the origin of most of its quoted lines, the later one on a tie, and without such a line to the message
-before it. Deeper levels quote what their origin quotes, so they are removed with it and counted. A conversation is then told
+A line's quote level is the number of > before its text; consecutive lines of one level are a passage. Of every level, hashes
+of normalised passages (their lines joined, so wrapping does not matter) and lines are looked up among the unquoted passages and
+lines of the same conversation's earlier messages; the latest one that holds a line's passage, or else the line, is its origin.
+A message replies to the origin of most of its linked lines of the lowest level that has any, the later one on a tie, and
+without such a line to the message before it. Part of a passage that is wrapped anew is not linked.
+A conversation is then told
 branch by branch: a message continues the branch of the message it replies to if it is that message's first reply and begins a
 branch otherwise; branches come in the order of their first messages, so replies follow what they reply to.
 
@@ -36,19 +38,26 @@ def normal(line: Column) -> Column:
 def replies(messages: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, parent, n_quoted, n_linked): parent is the turn replied to, null for the first message."""
     named = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    lines = named.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line")).select("conv_id", "turn", level(F.col("line")).alias("level"), normal(F.col("line")).alias("n")).where("n <> ''")
-    quoting = S.materialize(lines.where("level = 1").select("conv_id", "turn", F.xxhash64("n").alias("h"), F.xxhash64(F.lit(1), "n").alias("h2")).groupBy("conv_id", "turn", "h", "h2").count(), "quotes")
+    lines = named.withColumn("m", F.monotonically_increasing_id()).select("conv_id", "turn", "m", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("conv_id", "turn", "m", "pos", level(F.col("line")).alias("level"), normal(F.col("line")).alias("n"))
+    quoting = S.materialize(lines.where("level > 0 and n <> ''").select("conv_id").distinct(), "quotes")
     if quoting.take(1):
-        quoted = quoting.select("conv_id", "h").distinct()
-        own = lines.where("level = 0").select("conv_id", "turn", F.xxhash64("n").alias("h"), F.xxhash64(F.lit(1), "n").alias("h2")).distinct()
-        own = own.join(quoted, ["conv_id", "h"], "left_semi").select("conv_id", "turn", "h", "h2", F.lit(0).cast("long").alias("count"))
-        both = quoting.select("conv_id", "turn", "h", "h2", "count").unionByName(own)
-        before = Window.partitionBy("conv_id", "h", "h2").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-        origins = both.withColumn("origin", F.max(F.when(F.col("count") == 0, F.col("turn"))).over(before)).where("count > 0 and origin is not null")
-        votes = origins.groupBy("conv_id", "turn", "origin").agg(F.sum("count").alias("n"))
-        linked = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "origin")).alias("best"), F.sum("n").alias("n_linked")).select("conv_id", "turn", F.col("best.origin").alias("origin"), "n_linked")
+        message = Window.partitionBy("conv_id", "turn", "m").orderBy("pos")
+        begins = (F.lag("level").over(message) != F.col("level")) | (F.lag("n").over(message) == "")
+        told = lines.join(quoting, "conv_id", "left_semi").withColumn("begins", F.coalesce(begins, F.lit(False)).cast("int")).withColumn("passage", F.sum("begins").over(message)).where("n <> ''")
+        told = told.groupBy("conv_id", "turn", "m", "passage", "level").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("l")).withColumn("l", F.col("l.n"))
+        hashed = lambda c: F.struct(F.xxhash64(c), F.xxhash64(F.lit(1), c))
+        told = S.materialize(told.select("conv_id", "turn", "level", F.transform("l", hashed).alias("lines"), hashed(F.array_join("l", " ")).alias("p")), "passages")
+        quoted = told.where("level > 0").select("conv_id", "turn", "level", F.explode("lines").alias("n"), "p").groupBy("conv_id", "turn", "level", "n", "p").count()
+        asked = quoted.select("conv_id", "turn", F.explode(F.array("n", "p")).alias("h")).distinct().withColumn("own", F.lit(False))
+        own = told.where("level = 0").select("conv_id", "turn", F.explode(F.concat("lines", F.array("p"))).alias("h")).distinct().withColumn("own", F.lit(True))
+        before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+        found = asked.unionByName(own).withColumn("origin", F.max(F.when(F.col("own"), F.col("turn"))).over(before)).where("not own and origin is not null")
+        by = lambda c: found.select("conv_id", "turn", F.col("h").alias(c), F.col("origin").alias(f"of_{c}"))
+        origins = quoted.join(by("n"), ["conv_id", "turn", "n"], "left").join(by("p"), ["conv_id", "turn", "p"], "left").withColumn("origin", F.coalesce("of_p", "of_n")).where("origin is not null")
+        votes = origins.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("count").alias("n"))
+        linked = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("level"), "n", "origin")).alias("best"), F.sum("n").alias("n_linked")).select("conv_id", "turn", F.col("best.origin").alias("origin"), "n_linked")
     else:
-        linked = quoting.select("conv_id", "turn", F.col("turn").alias("origin"), F.col("count").alias("n_linked")).limit(0)
+        linked = named.select("conv_id", "turn", F.col("turn").alias("origin"), F.lit(0).cast("long").alias("n_linked")).limit(0)
     counts = named.groupBy("conv_id", "turn").agg(F.sum(F.size(F.filter(F.split("text", "\n"), lambda l: level(l) > 0))).alias("n_quoted"))
     previous = Window.partitionBy("conv_id").orderBy("turn")
     rows = counts.join(linked, ["conv_id", "turn"], "left").withColumn("parent", F.coalesce("origin", F.lag("turn").over(previous)))

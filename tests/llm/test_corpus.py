@@ -355,6 +355,19 @@ def test_quotes(spark):
     assert quotes.conversations(messages.limit(0)).count() == 0
 
 
+def test_nested_and_wrapped_quotes(spark):
+    rows = [
+        (1, 0, "Where is it now?\nTell me more."),
+        (1, 1, "In the box."),
+        (1, 2, "> > In the BOX\nok"),
+        (1, 3, "> Where is\n> it now? Tell\n> me more.\nwell"),
+        (1, 4, "> well\n> > > in\n> > > the box\nend"),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {r.turn: (r.parent, r.n_quoted, r.n_linked) for r in quotes.conversations(messages).collect()}
+    assert got == {0: (None, 0, 0), 1: (0, 0, 0), 2: (1, 1, 1), 3: (0, 3, 3), 4: (3, 3, 3)}
+
+
 def test_components(spark):
     rng = random.Random(15)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)]
