@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -79,9 +82,37 @@ def _vowel(mora: str) -> str:
     return _SOUND.get(mora, ("", ""))[1]
 
 
-def _prolongs(before: str, mora: str) -> bool:
-    """A bare vowel that goes on with the vowel before it."""
-    return mora in "アイウエオ" and _vowel(before) == _vowel(mora)
+def stretches(kana: list[str], starts: np.ndarray, ends: np.ndarray, n: int, slack: int, gap: float) -> Iterator[np.ndarray]:
+    """Places of the moras of each stretch that begins at some event: up to n + slack of them within 3 * n + slack events.
+
+    A bare vowel that goes on with the vowel before it belongs to the mora before, except where a stretch begins with it; a
+    stretch ends before an event that follows its last mora by more than `gap`.
+    """
+    vowels = [_vowel(k) for k in kana]
+    own = np.array([i == 0 or not (k in "アイウエオ" and vowels[i] == vowels[i - 1]) for i, k in enumerate(kana)])
+    before = np.concatenate([[0], np.maximum.accumulate(np.where(own, np.arange(len(kana)), 0))[:-1]]) if len(kana) else own
+    for first in range(len(kana)):
+        later = np.arange(first + 1, min(len(kana), first + 3 * n + slack))
+        far = np.flatnonzero(starts[later] - ends[np.maximum(before[later], first)] > gap)
+        later = later[: far[0]] if len(far) else later
+        yield np.concatenate([[first], later[own[later]]])[: n + slack]
+
+
+def candidates(target: list[str], events: list[tuple[str, float, float]], notes: list[tuple[float, float]], gap: float) -> Iterator[Occurrence]:
+    """Stretches that are near enough to a phrase, of every length that its cost allows."""
+    events = [e for e in events if e[0] != "ー"]
+    kana, starts, ends = [e[0] for e in events], np.array([e[1] for e in events]), np.array([e[2] for e in events])
+    n, slack = len(target), max(1, len(target) // 5)
+    begins, stops = np.array([s for s, _ in notes]), np.array([e for _, e in notes])
+    noted = np.array([bool(((begins - 0.12 <= t) & (t <= stops + 0.12)).any()) for t in starts]) if len(notes) else np.zeros(len(events), bool)
+    for places in stretches(kana, starts, ends, n, slack, gap):
+        score = np.array(prefix_costs(target, [kana[i] for i in places]))[1:]
+        size = np.arange(1, len(places) + 1)
+        last, support = np.maximum.accumulate(places), np.cumsum(noted[places]) / size
+        fits = (size >= max(3, n - slack)) & (5 * score[:, 0] <= n) & (score[:, 1] >= max(3, -(-7 * n // 10)))
+        fits &= (ends[last] - starts[places[0]] >= 0.25) & ((score[:, 0] == 0) | (support >= 0.8))
+        for k in np.flatnonzero(fits):
+            yield Occurrence(float(starts[places[0]]), float(ends[places[k]]), score[k, 0] / n, int(score[k, 1]), "".join(kana[i] for i in places[: k + 1]), float(support[k]))
 
 
 def occurrences(target: list[str], events: list[tuple[str, float, float]], notes: list[tuple[float, float]], gap: float = 1.0) -> list[Occurrence]:
@@ -91,32 +122,12 @@ def occurrences(target: list[str], events: list[tuple[str, float, float]], notes
     at most `gap` apart and last 0.25 s; unless it is exact, four fifths of its events begin within 0.12 s of a note. Of
     overlapping stretches the closest, then the one with more exact moras, then the earlier stays.
     """
-    sung = [e for e in events if e[0] != "ー"]
-    slack, n = max(1, len(target) // 5), len(target)
-    least_exact = max(3, -(-7 * n // 10))
-    noted = [any(s - 0.12 <= e[1] <= t + 0.12 for s, t in notes) for e in sung]
-    found = []
-    for first in range(len(sung)):
-        picked: list[int] = []
-        for i in range(first, min(len(sung), first + 3 * n + slack)):
-            if picked and sung[i][1] - sung[picked[-1]][2] > gap:
-                break
-            if not picked or not _prolongs(sung[picked[-1]][0], sung[i][0]):
-                picked.append(i)
-            if len(picked) == n + slack:
-                break
-        costs = prefix_costs(target, [sung[i][0] for i in picked])
-        for k in range(max(3, n - slack), len(picked) + 1):
-            (cost, exact), part = costs[k], picked[:k]
-            start, end = sung[part[0]][1], sung[part[-1]][2]
-            support = sum(noted[i] for i in part) / k
-            if 5 * cost <= n and exact >= least_exact and end - start >= 0.25 and (cost == 0 or support >= 0.8):
-                found.append(Occurrence(start, end, cost / n, exact, "".join(sung[i][0] for i in part), support))
-    kept: list[Occurrence] = []
-    for o in sorted(found, key=lambda o: (o.distance, -o.exact, o.start, o.end)):
-        if not any(o.start < k.end and o.end > k.start for k in kept):
-            kept.append(o)
-    return sorted(kept, key=lambda o: o.start)
+    kept: list[Occurrence] = []  # by start; they do not overlap, so only the neighbours of a new one matter
+    for o in sorted(candidates(target, events, notes, gap), key=lambda o: (o.distance, -o.exact, o.start, o.end)):
+        at = bisect.bisect_left(kept, o.end, key=lambda k: k.start)
+        if not at or kept[at - 1].end <= o.start:
+            kept.insert(at, o)
+    return kept
 
 
 FOUND = "doc_id string, line_index long, start double, end double, distance double, exact_moras long, kana string, note_support double"
