@@ -41,10 +41,31 @@ def binned_overlap_join(left: DataFrame, right: DataFrame, key: str, l: tuple[st
     return a.join(b, on).drop("_bin_l", "_bin_r", "_key_r")
 
 
+def around(points: DataFrame, others: DataFrame, key: str, at: str, other_at: str, values: list[str]) -> DataFrame:
+    """points with `_before` and `_after`: structs of the last other row not after a point and of the first one after it.
+
+    One sort of both sides by (key, time), never their pairs. Of other rows at one time the largest `values` are the one before
+    and the smallest the one after; either is null where there is none.
+    """
+    mark = F.struct(*(F.col(v) for v in values))
+    kind = others.select(mark.alias("m")).schema["m"].dataType
+    l = points.select(F.struct(*points.columns).alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_m"))
+    r = others.select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), F.col(other_at).alias("_at"), F.lit(0).alias("_side"), mark.alias("_m"))
+    w = Window.partitionBy("_key").orderBy("_at", "_side", "_m")
+    both = l.unionByName(r).withColumn("_before", F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    down = Window.partitionBy("_key").orderBy(F.desc("_at"), F.desc("_side"), F.desc("_m")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("_after", F.last("_m", ignorenulls=True).over(down)).where("_side = 1").select("_row.*", "_before", "_after")
+
+
 def within(events: DataFrame, others: DataFrame, key: str, at: str, other_at: str, tolerance, how: str = "left_semi") -> DataFrame:
-    """Rows that have (left_semi) or lack (left_anti) a row of the other side within `tolerance`, ends included."""
-    on = (events[key] == others[key]) & (others[other_at] >= events[at] - tolerance) & (others[other_at] <= events[at] + tolerance)
-    return events.join(others, on, how)
+    """Rows that have (left_semi) or lack (left_anti) a row of the other side within `tolerance`, ends included.
+
+    The nearest other rows on both sides tell. Rows without a key or a time have none.
+    """
+    met = around(events, others.where(F.col(other_at).isNotNull()), key, at, other_at, [other_at])
+    near = F.coalesce(F.col(at) - F.col(f"_before.{other_at}") <= tolerance, F.lit(False)) | F.coalesce(F.col(f"_after.{other_at}") - F.col(at) <= tolerance, F.lit(False))
+    near = near & F.col(key).isNotNull() & F.col(at).isNotNull()
+    return met.where(near if how == "left_semi" else ~near).drop("_before", "_after")
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, values: list[str]) -> DataFrame:
@@ -63,11 +84,15 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, va
 
 
 def nearest_owner(points: DataFrame, owners: DataFrame, key: str, point_id: str, at: str, start: str, end: str, owner_id: str) -> DataFrame:
-    """Each point's owner at the least (distance to [start, end], start, id); only owners of the same key are considered."""
-    distance = F.greatest(F.lit(0).cast("long"), F.col(start) - F.col(at), F.col(at) - F.col(end))
-    met = points.join(owners.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"))
-    best = F.min(F.struct(distance.alias("distance"), F.col(start).alias("s"), F.col(owner_id).alias("owner")))
-    return met.groupBy(point_id, key).agg(best.alias("b")).select(point_id, key, F.col("b.owner").alias(owner_id), F.col("b.distance").alias("distance"))
+    """Each point's owner at the least (distance to [start, end], start, id); only owners of the same key are considered.
+
+    A key's owners do not overlap, as islands do not, so the nearest is the last that begins before the point or the next.
+    """
+    met = around(points, owners, key, at, start, [start, end, owner_id])
+    distance = lambda o: F.greatest(F.lit(0).cast("long"), F.col(f"{o}.{start}") - F.col(at), F.col(at) - F.col(f"{o}.{end}"))
+    choice = lambda o: F.when(F.col(o).isNotNull(), F.struct(distance(o).alias("distance"), F.col(f"{o}.{start}").alias("s"), F.col(f"{o}.{owner_id}").alias("owner")))
+    best = met.withColumn("b", F.least(choice("_before"), choice("_after"))).where("b is not null")
+    return best.select(point_id, key, F.col("b.owner").alias(owner_id), F.col("b.distance").alias("distance"))
 
 
 def clip_to_next(df: DataFrame, keys, start: str, end: str) -> DataFrame:
@@ -101,9 +126,11 @@ def cuts(runs: DataFrame, keys, start: str = "start", end: str = "end", least_re
 def snap(points: DataFrame, rests: DataFrame, key: str, point_id: str, at: str, reach) -> DataFrame:
     """Move a point to the middle of the nearest rest within `reach`: least (distance, -length, middle); others stay."""
     middle = F.floor((F.col("rest_start") + F.col("rest_end")) / 2)
-    met = points.join(rests.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.abs(middle - F.col(at)) <= reach))
-    best = met.groupBy(key, point_id).agg(F.min(F.struct(F.abs(middle - F.col(at)).alias("d"), (F.col("rest_start") - F.col("rest_end")).alias("l"), middle.alias("m"))).alias("b"))
-    return points.join(best, [key, point_id], "left").withColumn("snapped", F.coalesce(F.col("b.m"), F.col(at))).drop("b")
+    longest = rests.select(key, middle.alias("_m"), (F.col("rest_start") - F.col("rest_end")).alias("_l")).groupBy(key, "_m").agg(F.min("_l").alias("_l"))
+    met = around(points, longest, key, at, "_m", ["_m", "_l"])
+    away = lambda o: F.abs(F.col(f"{o}._m") - F.col(at))
+    choice = lambda o: F.when(away(o) <= reach, F.struct(away(o).alias("d"), F.col(f"{o}._l").alias("l"), F.col(f"{o}._m").alias("m")))
+    return met.withColumn("snapped", F.coalesce(F.least(choice("_before"), choice("_after"))["m"], F.col(at))).drop("_before", "_after")
 
 
 def subtract(minuend: DataFrame, subtrahend: DataFrame, key: str, start: str, end: str) -> DataFrame:

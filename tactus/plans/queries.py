@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kana, sequences
-from ..operators import decode, integrity, intervals, islands, selection
+from ..operators import decode, integrity, intervals, islands, selection, songs
 from ..sources import scores
 from ..streaming import sessions
 
@@ -95,9 +95,9 @@ def binned_overlap_join(spark, sf_dir):
 @query(runs_sql(24 * HOUR) + ', m as (select user_id, event_id, (s + e) // 2 as mid from {spans}) select g.user_id, g.island, count(m.event_id) as events, count(*) filter (m.mid - g."start" < 3600000000) as early from g join m on g.user_id = m.user_id and m.mid >= g."start" and m.mid < g."end" group by all')
 def point_in_interval_counts(spark, sf_dir):
     mids = spans(spark, sf_dir).select("user_id", "event_id", F.floor((F.col("s") + F.col("e")) / 2).alias("mid")).withColumnRenamed("user_id", "u")
-    g = runs(spark, sf_dir, 24 * HOUR)
-    met = g.join(mids, (F.col("user_id") == F.col("u")) & (F.col("mid") >= F.col("start")) & (F.col("mid") < F.col("end")))
-    return met.groupBy("user_id", "island").agg(F.count("event_id").alias("events"), F.count_if(F.col("mid") - F.col("start") < HOUR).alias("early"))
+    g = runs(spark, sf_dir, 24 * HOUR).select("user_id", "island", F.col("start").alias("g_start"), F.col("end").alias("g_end"))
+    met = intervals.asof(mids, g.withColumnRenamed("user_id", "u"), "u", "mid", "g_start", ["g_start", "g_end", "island"]).where("mid < g_end")
+    return met.groupBy(F.col("u").alias("user_id"), "island").agg(F.count("event_id").alias("events"), F.count_if(F.col("mid") - F.col("g_start") < HOUR).alias("early"))
 
 
 NEAR = "with a as (select * from {spans}) select event_id, user_id, s from a where event_type = (select max(event_type) from a) and {exists} exists (select 1 from a b where b.user_id = a.user_id and b.event_type <> a.event_type and b.s >= a.s - 43200000000 and b.s <= a.s + 43200000000)"
@@ -129,9 +129,9 @@ def asof_owner(spark, sf_dir):
     return intervals.asof(left, right, "user_id", "s", "t", ["t", "value"]).select("event_id", "user_id", "t", "value")
 
 
-@query(runs_sql(24 * HOUR) + ', d as (select a.event_id, a.user_id, g.island, greatest(0, g."start" - a.s, a.s - g."end") as distance, g."start" as st from {spans} a join g on a.user_id = g.user_id where a.event_id % 5 = 0 and g.n >= 2), r as (select *, row_number() over (partition by event_id order by distance, st, island) as rn from d) select event_id, user_id, island, distance::bigint as distance from r where rn = 1')
+@query(runs_sql(24 * HOUR) + ', d as (select a.event_id, a.user_id, g.island, greatest(0, g."start" - a.s, a.s - g."end") as distance, g."start" as st from {spans} a join g on a.user_id = g.user_id where g.n >= 2), r as (select *, row_number() over (partition by event_id order by distance, st, island) as rn from d) select event_id, user_id, island, distance::bigint as distance from r where rn = 1')
 def nearest_owner_min_by(spark, sf_dir):
-    points = spans(spark, sf_dir).where("event_id % 5 = 0").select("event_id", "user_id", "s")
+    points = spans(spark, sf_dir).select("event_id", "user_id", "s")
     return intervals.nearest_owner(points, runs(spark, sf_dir, 24 * HOUR).where("n >= 2"), "user_id", "event_id", "s", "start", "end", "island")
 
 
@@ -140,9 +140,9 @@ def cut_midpoints(spark, sf_dir):
     return intervals.cuts(runs(spark, sf_dir, 24 * HOUR), "user_id").select("user_id", "island", "next_start", "cut")
 
 
-@query(runs_sql(24 * HOUR) + ', c as (select user_id, "end" as a, lead("start") over (partition by user_id order by "start", "end") as b from g), p as (select user_id, event_id, s from {spans} where event_id % 4 = 0), d as (select p.event_id, p.user_id, p.s, abs((c.a + c.b) // 2 - p.s) as dist, c.a - c.b as l, (c.a + c.b) // 2 as m from p join c on p.user_id = c.user_id where c.b is not null and abs((c.a + c.b) // 2 - p.s) <= 172800000000), r as (select *, row_number() over (partition by event_id order by dist, l, m) as rn from d) select p.event_id, p.user_id, p.s, coalesce(r.m, p.s) as snapped from p left join r on p.event_id = r.event_id and r.rn = 1')
+@query(runs_sql(24 * HOUR) + ', c as (select user_id, "end" as a, lead("start") over (partition by user_id order by "start", "end") as b from g), p as (select user_id, event_id, s from {spans}), d as (select p.event_id, p.user_id, p.s, abs((c.a + c.b) // 2 - p.s) as dist, c.a - c.b as l, (c.a + c.b) // 2 as m from p join c on p.user_id = c.user_id where c.b is not null and abs((c.a + c.b) // 2 - p.s) <= 172800000000), r as (select *, row_number() over (partition by event_id order by dist, l, m) as rn from d) select p.event_id, p.user_id, p.s, coalesce(r.m, p.s) as snapped from p left join r on p.event_id = r.event_id and r.rn = 1')
 def snap_to_rest(spark, sf_dir):
-    points = spans(spark, sf_dir).where("event_id % 4 = 0").select("user_id", "event_id", "s")
+    points = spans(spark, sf_dir).select("user_id", "event_id", "s")
     rests = intervals.cuts(runs(spark, sf_dir, 24 * HOUR), "user_id").select("user_id", F.col("end").alias("rest_start"), F.col("next_start").alias("rest_end"))
     return intervals.snap(points, rests, "user_id", "event_id", "s", 48 * HOUR)
 
@@ -358,24 +358,24 @@ def repeat_unit(spark, sf_dir):
     return words.withColumn("n", kana.repeat_unit(F.col("line"))).where("n > 1").select(F.md5(F.col("line").cast("binary")).alias("line"), "n")
 
 
-PAIRS = "(select d.doc_id, b.item_id, regexp_replace(substr(d.text, 1, 60), '[^ -~]', '', 'g') as x, regexp_replace(substr(b.text, 1, 60), '[^ -~]', '', 'g') as y from documents d join benchmark b on d.doc_id % 40 = b.item_id)"
+TURNS = "(select conv_id, turn, coalesce(text, '') as x, coalesce(lag(text) over (partition by conv_id order by turn), '') as y from conversations)"
 
 
-def pairs(spark, sf_dir):
-    ascii = lambda c: F.regexp_replace(F.substring(c, 1, 60), "[^ -~]", "")  # noqa: E731  DuckDB counts bytes
-    b = table(spark, sf_dir, "benchmark").select("item_id", ascii("text").alias("y"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), ascii("text").alias("x"))
-    return d.join(b, "item_id")
+def turns(spark, sf_dir):
+    """Every message with the one before it, byte by byte, as DuckDB counts."""
+    data = lambda c: F.decode(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), "ISO-8859-1")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", data(F.col("text")).alias("x"), data(before).alias("y"))
 
 
-@query(f"select doc_id, item_id, levenshtein(x, y)::int as distance from {PAIRS}")
+@query(f"select conv_id, turn, levenshtein(x, y)::int as distance from {TURNS}")
 def edit_distance_pairs(spark, sf_dir):
-    return pairs(spark, sf_dir).select("doc_id", "item_id", F.levenshtein("x", "y").alias("distance"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.levenshtein("x", "y").alias("distance"))
 
 
-@query(f"select doc_id, item_id, round(levenshtein(x, y) / greatest(length(x), length(y), 1), 9) as distance from {PAIRS}")
+@query(f"select conv_id, turn, round(levenshtein(x, y) / greatest(strlen(x), strlen(y), 1), 9) as distance from {TURNS}")
 def normalized_distance(spark, sf_dir):
-    return pairs(spark, sf_dir).select("doc_id", "item_id", F.round(sequences.normalized_distance(F.col("x"), F.col("y")), 9).alias("distance"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.round(sequences.normalized_distance(F.col("x"), F.col("y")), 9).alias("distance"))
 
 
 STAMPS = "with c as (select event_id, greatest(round_even(value * 1000, 0)::bigint, 0) as ms from events)"
@@ -440,3 +440,53 @@ def block_similarity(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("y"))
     near = d.join(b, F.least(F.length("x"), F.length("y")) * 2 >= F.greatest(F.length("x"), F.length("y")))
     return near.select("doc_id", "item_id", F.round(sequences.similarity("x", "y"), 9).alias("ratio"))
+
+
+#: Users as songs, islands of a day as lines, events as notes and moras; times in hours. A mora's confidence follows its value.
+SONGS = """, l as (select user_id::varchar as doc_id, island as line_index, "start" / 3.6e9 as start_sec, "end" / 3.6e9 as end_sec from g),
+m as (select f.user_id::varchar as doc_id, island as line_index, event_id, s / 3.6e9 as start_sec, e / 3.6e9 as end_sec, case event_id % 7 when 0 then 1e-6 when 1 then null else 1.0 / (1 + abs(value) * (event_id % 5) * 20) end as confidence from f)"""
+
+
+def song_lines(spark, sf_dir) -> DataFrame:
+    g = runs(spark, sf_dir, 24 * HOUR)
+    return g.select(F.col("user_id").cast("string").alias("doc_id"), F.col("island").alias("line_index"), (F.col("start") / 3.6e9).alias("start_sec"), (F.col("end") / 3.6e9).alias("end_sec"))
+
+
+def song_moras(spark, sf_dir) -> DataFrame:
+    rows = islands.islands(spans(spark, sf_dir), "user_id", "s", "e", ["s", "event_id"], 24 * HOUR)
+    kind = F.col("event_id") % 7
+    confidence = F.when(kind == 0, 1e-6).when(kind == 1, F.lit(None)).otherwise(1.0 / (1 + F.abs("value") * (F.col("event_id") % 5) * 20))
+    return rows.select(F.col("user_id").cast("string").alias("doc_id"), F.col("island").alias("line_index"), "event_id", (F.col("s") / 3.6e9).alias("start_sec"), (F.col("e") / 3.6e9).alias("end_sec"), confidence.alias("confidence"))
+
+
+@query(runs_sql(24 * HOUR) + SONGS + " select doc_id, line_index, round(exp(avg(ln(greatest(confidence, 1e-30)))), 9) as quality, coalesce(min(confidence) >= 1e-5 and exp(avg(ln(greatest(confidence, 1e-30)))) >= 7.5e-4, false) as verified from (select doc_id, line_index, coalesce(confidence, 1e-30) as c0, confidence from m) where confidence is not null group by all")
+def verified_lines(spark, sf_dir):
+    rows = songs.verified(song_moras(spark, sf_dir).where("confidence is not null"))
+    return rows.select("doc_id", "line_index", F.round("quality", 9).alias("quality"), "verified")
+
+
+@query(runs_sql(24 * HOUR) + SONGS + " select doc_id, line_index, event_id, coalesce(start_sec is not null and confidence >= 1e-5, false) as usable from m")
+def usable_boundaries(spark, sf_dir):
+    return song_moras(spark, sf_dir).select("doc_id", "line_index", "event_id", songs.usable(F.col("start_sec"), F.col("confidence")).alias("usable"))
+
+
+@query("select doc_id, coalesce(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 4 and 2 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= length(regexp_replace(text, '\\P{L}', '', 'g')), false) as is_foreign from documents")
+def foreign_text_flag(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(songs.foreign_text(F.col("text")), F.lit(False)).alias("is_foreign"))
+
+
+@query("with a as (select user_id, event_id, event_type, s / 3.6e9 as b, e / 3.6e9 as c from {spans}) select user_id, event_id from a where event_type = (select min(event_type) from a) and exists (select 1 from a n where n.user_id = a.user_id and n.event_type = (select max(event_type) from a) and a.b < n.c + 0.12 and a.c > n.b - 0.12)")
+def phonetic_cover(spark, sf_dir):
+    rows = spans(spark, sf_dir).select(F.col("user_id").alias("doc_id"), "event_id", "event_type", (F.col("s") / 3.6e9).alias("start_sec"), (F.col("e") / 3.6e9).alias("end_sec"))
+    ends = rows.agg(F.min("event_type").alias("first"), F.max("event_type").alias("last"))
+    of = lambda c: rows.join(F.broadcast(ends), F.col("event_type") == F.col(c)).drop("first", "last")
+    return songs.phonetic_cover(of("first"), of("last")).select(F.col("doc_id").alias("user_id"), "event_id")
+
+
+@query("with a as (select user_id::varchar as doc_id, event_type as text, greatest(round_even(s / 1000 - min(s) over (partition by user_id) / 1000, 0)::bigint, 0) as b from {spans}), c as (select *, row_number() over (partition by doc_id order by b, text) as i, b + 1500 as e from a), k as (select doc_id, i, text, [case when t // 3600000 < 100 then lpad((t // 3600000)::varchar, 2, '0') else (t // 3600000)::varchar end || ':' || lpad((t // 60000 % 60)::varchar, 2, '0') || ':' || lpad((t // 1000 % 60)::varchar, 2, '0') || ',' || lpad((t % 1000)::varchar, 3, '0') for t in [b, e]] as w from c) select doc_id, md5(string_agg(i::varchar || chr(10) || w[1] || ' --> ' || w[2] || chr(10) || text, chr(10) || chr(10) order by i) || chr(10)) as srt from k group by doc_id")
+def srt_documents(spark, sf_dir):
+    """A user's events as a subtitle file, one and a half seconds each from the user's first event on."""
+    first = F.min("s").over(Window.partitionBy("user_id"))
+    rows = spans(spark, sf_dir).withColumn("ms", F.bround(F.col("s") / 1000 - first / 1000, 0))
+    cues = rows.select(F.col("user_id").cast("string").alias("doc_id"), (F.col("ms") / 1000).alias("start_sec"), ((F.col("ms") + 1500) / 1000).alias("end_sec"), F.col("event_type").alias("text"))
+    return scores.srt(cues).select("doc_id", F.md5(F.col("srt").cast("binary")).alias("srt"))
