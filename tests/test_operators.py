@@ -127,3 +127,51 @@ def test_stream_is_the_batch(spark, tmp_path):
     q.stop()
     want = {(r.user_id, r.start, r.end, r.n) for r in sessions.sessions(events, "user_id", "ts", "1 hour", "1 day").collect()}
     assert {tuple(r) for r in spark.table("runs").collect()} == want
+
+
+def test_nearest_joins_against_all_pairs(spark):
+    rng = random.Random(8)
+    points = [(k, i, rng.randint(0, 60)) for i, k in enumerate(rng.choice("ab") for _ in range(60))] + [("c", 99, 5), (None, 98, 5), ("a", 97, None)]
+    owners, at = [], {"a": 0, "b": 3}
+    for i in range(14):
+        k = rng.choice("ab")
+        start = at[k] + rng.randint(1, 4)
+        at[k] = start + rng.randint(0, 5)
+        owners.append((k, start, at[k], i))
+    p = spark.createDataFrame(points, "k string, i long, t long")
+    o = spark.createDataFrame(owners, "k string, s long, e long, o long")
+    got = {r.i: (r.o, r.distance) for r in intervals.nearest_owner(p.where("t is not null"), o, "k", "i", "t", "s", "e", "o").collect()}
+    want = {}
+    for k, i, t in points:
+        found = [(max(0, s - t, t - e), s, n) for q, s, e, n in owners if q == k] if t is not None else []
+        if found:
+            want[i] = (min(found)[2], min(found)[0])
+    assert got == want
+    near = {i for k, i, t in points if t is not None and any(q == k and abs(s - t) <= 3 for q, s, _, _ in owners)}
+    others = o.select("k", "s")
+    assert {r.i for r in intervals.within(p, others, "k", "t", "s", 3).collect()} == near
+    assert {r.i for r in intervals.within(p, others, "k", "t", "s", 3, "left_anti").collect()} == {i for _, i, _ in points} - near
+
+
+def test_prefix_costs_against_the_whole_table():
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ([rng.choice("アイカキサコ") for _ in range(rng.randint(0, n))] for n in (5, 7))
+        got = sequences.prefix_costs(a, b)
+        for j in range(len(b) + 1):
+            part = b[:j]
+            best = {(0, 0): (0.0, 0)}
+            for x in range(len(a) + 1):
+                for y in range(j + 1):
+                    options = [best[x, y]] if (x, y) in best and x == y == 0 else []
+                    if x:
+                        options.append((best[x - 1, y][0] + 1, best[x - 1, y][1]))
+                    if y:
+                        options.append((best[x, y - 1][0] + 1, best[x, y - 1][1]))
+                    if x and y:
+                        c, m = best[x - 1, y - 1]
+                        same = a[x - 1] == part[y - 1]
+                        vowel = sequences._SOUND[a[x - 1]][1] == sequences._SOUND[part[y - 1]][1]
+                        options.append((c + (0 if same else 0.5 if vowel else 1), m - same))
+                    best[x, y] = min(options)
+            assert got[j] == (best[len(a), j][0], -best[len(a), j][1])
