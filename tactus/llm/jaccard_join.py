@@ -5,8 +5,8 @@ Links documents whose sets of word n-grams have a Jaccard similarity of at least
 Method. The universe of shingle hashes is cut into equal segments. Sizes fall into bands; a band has as many segments as
 the largest difference that two similar sets of the band can have, so two similar sets agree in a segment, or differ by one
 element in a segment that is indexed with its one-deletion neighbourhood. How many segments of either kind a band gets is
-chosen by cost. Equal signatures are candidates; a parity sketch that never exceeds the true difference discards most of the
-others; what is left is verified on the whole sets. Equal sets are one class from the start, and shared.bucket_groups joins the
+chosen by cost. Equal signatures are candidates; parity sketches, and for large sets counts by bucket, that never exceed the true
+difference discard most of them; what is left is verified on the whole sets. Equal sets are one class from the start, and shared.bucket_groups joins the
 classes without expanding groups of copies into all their pairs.
 
 Defined results: null, empty or wordless text has no shingle and is linked with nothing; with fewer words than the n-gram the
@@ -32,8 +32,10 @@ BAND = 1.5
 U64 = np.uint64
 #: 64-bit words of the sketch that pairs are compared by.
 WIDE = 16
-TABLE = "doc_id long, n_shingles long, k1 long, k2 long, wide array<long>"
-ENTRIES = "sig long, id long, sketch long, n_shingles long"
+#: Buckets of the counts that large sets are compared by, and the elements from which on a set is large: the wide sketch is full then.
+COUNTS, LARGE = 1024, 1000
+TABLE = "doc_id long, n_shingles long, k1 long, k2 long, wide array<long>, counts array<int>"
+ENTRIES = "sig long, id long"
 
 
 def required(a: int, b: int, percent: int) -> int:
@@ -131,6 +133,11 @@ def parity_sketch(h: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def bucket_counts(h: np.ndarray) -> np.ndarray:
+    """How many elements fall into each of COUNTS buckets: two sets' counts differ in all by at most as much as the sets."""
+    return np.bincount((h >> U64(20) & U64(COUNTS - 1)).astype(np.int64), minlength=COUNTS).astype(np.int32)
+
+
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted sets) of slices of a text column."""
     for first, raw, offsets in S.chunks(column):
@@ -144,7 +151,8 @@ def _tables(width: int):
             for first, rows in _sets(batch.column(1), width):
                 keys = np.array([(int(S.mix(h).sum(dtype=U64)), int(S.mix(h * U64(3) + U64(1)).sum(dtype=U64))) if len(h) else (0, 0) for h in rows], U64).view(np.int64)
                 wide = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([parity_sketch(h, WIDE) for h in rows])), WIDE).cast(pa.list_(pa.int64()))
-                yield pa.record_batch([batch.column(0).slice(first, len(rows)), pa.array([len(h) for h in rows], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), wide], names=["doc_id", "n_shingles", "k1", "k2", "wide"])
+                counts = pa.array([bucket_counts(h) if len(h) > LARGE else None for h in rows], pa.list_(pa.int32()))
+                yield pa.record_batch([batch.column(0).slice(first, len(rows)), pa.array([len(h) for h in rows], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), wide, counts], names=["doc_id", "n_shingles", "k1", "k2", "wide", "counts"])
 
     return run
 
@@ -156,9 +164,8 @@ def _entries(width: int, percent: int, n_rows: int):
             for first, rows in _sets(batch.column(1), width):
                 sigs = [signatures(h, percent, n_rows) for h in rows]
                 n = [len(x) for x in sigs]
-                sketch = np.concatenate([parity_sketch(h) for h in rows])
-                columns = (np.concatenate(sigs).view(np.int64), np.repeat(ids[first : first + len(rows)], n), np.repeat(sketch, n), np.repeat(np.array([len(h) for h in rows], np.int64), n))
-                yield pa.record_batch([pa.array(c) for c in columns], names=["sig", "id", "sketch", "n_shingles"])
+                columns = (np.concatenate(sigs).view(np.int64), np.repeat(ids[first : first + len(rows)], n))
+                yield pa.record_batch([pa.array(c) for c in columns], names=["sig", "id"])
 
     return run
 
@@ -186,12 +193,15 @@ def _verifier(width: int, percent: int):
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose whole sets are similar enough; a text travels once for each row of `pairs`."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = S.join_small(docs.select("doc_id", F.col("text").cast("binary").alias("text")), ids, "doc_id", "left_semi")
+    """Those of the written pairs (a, b) of doc_ids whose whole sets are similar enough; a text travels once for each pair."""
+    scratch = S.Scratch(docs.sparkSession, "ngram-verify")
+    ids = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = scratch.put(S.join_small(docs.select("doc_id", F.col("text").cast("binary").alias("text")), ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     rows = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    return rows.select("a", "b", "left", "right").mapInArrow(_verifier(width, percent), "a long, b long").distinct()
+    rows = S.join_one(rows, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a", most=0, counted=pairs)
+    kept = S.materialize(rows.select("a", "b", "left", "right").mapInArrow(_verifier(width, percent), "a long, b long").distinct(), "ngram-links")
+    scratch.drop()
+    return kept
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -201,10 +211,14 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     itself for a set without elements.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = S.materialize(docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_tables(width), TABLE), "ngram-sets")
-    classes = table.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    own = S.materialize(table.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", "class_id"), "ngram-classes")
-    leaders = own.where("doc_id = class_id").select("doc_id").distinct()
+    scratch = S.Scratch(docs.sparkSession, "ngram")
+    table = scratch.put(docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_tables(width), TABLE))
+    held = table.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2")
+    classes = scratch.put(held.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
+    common = scratch.put(classes.where("copies > 1").select(F.struct("k1", "k2").alias("k"), "class_id"))  # the others are alone in their class
+    placed = S.join_one(scratch.put(held.select("doc_id", "n_shingles", F.struct("k1", "k2").alias("k"))), common, "k", "left")
+    own = S.materialize(placed.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "ngram-classes")
+    leaders = scratch.put(own.where("doc_id = class_id").select("doc_id").distinct())
     n_rows = 1 << leaders.count().bit_length()
     texts = S.join_small(docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")), leaders, "doc_id", "left_semi")
     entries = texts.mapInArrow(_entries(width, percent, n_rows), ENTRIES)
@@ -220,19 +234,30 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     def closer(a: Column, b: Column) -> Column:
         return sum(F.bit_count(F.get(a["wide"], F.lit(i)).bitwiseXOR(F.get(b["wide"], F.lit(i)))) for i in range(WIDE)) <= allowed(a, b)
 
-    details = table.select(F.col("doc_id").alias("id"), "n_shingles", "wide")
-    distance = lambda a, b: F.bit_count(a["sketch"].bitwiseXOR(b["sketch"]))
-    linked = S.bucket_groups(entries, close, distance, lambda pairs: verify(docs, pairs, width, percent), "ngram", details, closer)
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Pairs without those of large sets whose counts tell them apart."""
+        side = lambda c, x: large.select(F.col("id").alias(c), F.struct("n_shingles", "counts").alias(x))
+        apart = F.aggregate(F.zip_with(F.col("x.counts"), F.col("y.counts"), lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
+        rows = S.join_one(pairs, side("a", "x"), "a", "left", most=4000).join(side("b", "y"), "b", "left")
+        return scratch.put(rows.where(F.col("x").isNull() | F.col("y").isNull() | (apart <= allowed(F.col("x"), F.col("y")))).select("a", "b"))
+
+    known = table.join(leaders, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "wide", "counts")
+    known = scratch.put(known.withColumn("sketch", F.reduce("wide", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(w))))
     twice = own.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("doc_id", "a")
-    repeated = own.join(twice, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b"))
-    final = S.components(linked.union(repeated), "ngram-final")
-    placed = own.join(final.select(F.col("node").alias("class_id"), F.col("component").alias("root")), "class_id", "left")
+    large = known.where("counts is not null").join(twice.select(F.col("doc_id").alias("id")), "id", "left_anti")  # of one set each
+    large = scratch.put(large.select("id", "n_shingles", "counts").dropDuplicates(["id"]))
+    repeated = scratch.put(own.join(twice, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b")))
+    attributes = known.select("id", "n_shingles", "sketch")
+    details = lambda ids: scratch.put(known.join(ids, "id", "left_semi").select("id", "n_shingles", "wide"))
+    final = S.bucket_groups(entries, close, lambda pairs: verify(docs, counted(pairs), width, percent), "ngram-groups", attributes=attributes, details=details, closer=closer, known=repeated)
+    grouped = S.join_one(own, final.select(F.col("node").alias("class_id"), F.col("component").alias("root")), "class_id", "left")
+    alone = S.materialize(table.where("n_shingles = 0").select("doc_id", "n_shingles"), "ngram-empty")
     empty = docs.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"))
-    alone = table.where("n_shingles = 0").select("doc_id", "n_shingles")
-    return placed.select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id")).unionByName(alone.union(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+    scratch.drop()
+    return grouped.select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id")).unionByName(alone.union(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Documents without those that belong to the group of a smaller doc_id; all columns stay."""
-    drop = jaccard_groups(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    drop = S.materialize(jaccard_groups(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return S.join_small(docs, drop, "doc_id", "left_anti")

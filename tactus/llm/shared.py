@@ -16,15 +16,24 @@ SEPARATORS = b" \t\n\x0b\x0c\r"
 U64 = np.uint64
 
 
+#: Removes a query's shuffle files once it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where the session names none (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder set in the session.
+
+    Where neither is set, a session on one machine (master local) gets a folder of its own, as in tests; a cluster has to name one.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
-    if not at:
+    if not at and spark.sparkContext.master.split("[")[0] == "local":
         at = "file://" + tempfile.mkdtemp(prefix="tactus-")
         spark.sparkContext.setCheckpointDir(at)
+    if not at:
+        raise ValueError("spark.checkpoint.dir is not set: the corpus operators need a folder that all executors share")
     return at.rstrip("/")
 
 
@@ -32,26 +41,71 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tactus/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+def materialize(df: DataFrame, tag: str, partition_by: str | None = None, path: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    The shuffle files behind the table are removed once it is written.
+    """
+    spark, path = df.sparkSession, path or new_path(df.sparkSession, tag)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        writer = df.write
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, most: int) -> bool:
-    """Whether a table has at most so many rows; reads no more than are needed to tell."""
-    return len(df.limit(most + 1).select(F.lit(1)).groupBy().count().filter(F.col("count") > most).take(1)) == 0
+class Scratch:
+    """Intermediate tables of one run of an operator, deleted together."""
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.root, self.n = spark, new_path(spark, tag), 0
+
+    def put(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        self.n += 1
+        return materialize(df, "", partition_by, f"{self.root}/{self.n}")
+
+    def drop(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def few(table: DataFrame, most: int) -> bool:
+    """Whether a written table has at most so many rows; its files' footers tell."""
+    return table.count() <= most
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str, most: int = 1_000_000) -> DataFrame:
-    """Join with a broadcast while the small side has at most `most` rows of a few fixed-width columns, else by shuffle."""
+    """Join with a broadcast while the written table `small` has at most `most` rows of a few fixed-width columns, else by shuffle."""
     return big.join(F.broadcast(small) if few(small, most) else small, on, how)
 
 
+#: A key with more than 1 / HOT of all rows is hot, so there are less than HOT of them; its rows are dealt to SPREAD parts.
+HOT, SPREAD = 1000, 64
+
+
+def join_one(big: DataFrame, small: DataFrame, key: str, how: str = "inner", most: int = 1_000_000, counted: DataFrame | None = None) -> DataFrame:
+    """Join the written tables `big` and `small`, the latter with one row for each key; `big` need not be written if `counted` is,
+    which has its keys.
+
+    With at most `most` rows of `small`, of fixed width, it is broadcast. Else rows of hot keys are salted, and the row of
+    `small` repeated for each salt, so no task gets all rows of a frequent key.
+    """
+    if most and few(small, most):
+        return big.join(F.broadcast(small), key, how)
+    counted = big if counted is None else counted
+    hot = materialize(counted.groupBy(key).count().where(F.col("count") * HOT > counted.count()).select(key, F.lit(True).alias("_hot")), "hot-keys")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(SPREAD)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_hot"), F.array(*map(F.lit, range(SPREAD)))).otherwise(F.array(F.lit(0)))
+    dealt = big.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    copies = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))
@@ -102,13 +156,14 @@ def chunks(texts: pa.Array, most_bytes: int = 1 << 20):
         first = last
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, separators: np.ndarray = _SEP):
     """64-bit hashes of all words of a slice, their first bytes and ends, and where each text's words begin.
 
-    Words are runs of other bytes than SEPARATORS; texts do not run into one another; A-Z count as a-z with lower.
+    Words are runs of other bytes than SEPARATORS, or than those that `separators` marks; texts do not run into one another; A-Z
+    count as a-z with lower.
     """
     n = len(raw)
-    inside = ~_SEP[raw]
+    inside = ~separators[raw]
     edge = np.empty(n + 1, bool)
     edge[:n], edge[n] = inside, False
     edge[1:n] &= ~inside[:-1]
@@ -151,78 +206,103 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component the smallest node.
 
     Minimum labels with pointer jumping: every round takes the smallest label of the neighbours and then the label of that
-    label, so chains shorten geometrically. Each round is written to the shared folder.
+    label, so chains shorten geometrically. Each round is written to the shared folder; the last one stays.
     """
+    scratch = Scratch(edges.sparkSession, f"{tag}-labels")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, f"{tag}-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"), F.lit(True).alias("moved")), f"{tag}-labels")
+    both = scratch.put(both)
+    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"), F.lit(True).alias("moved")))
     while labels.where("moved").take(1):
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        hooked = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("via"))
+        heard = join_one(both, labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
+        hooked = labels.select("node", "component").join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("via"))
+        hooked = hooked if few(labels, 1_000_000) else scratch.put(hooked)
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        labels = materialize(hooked.join(jump, "via").select("node", F.least("via", "further").alias("component"), (F.least("via", "further") < F.col("old")).alias("moved")), f"{tag}-labels")
-    return labels.select("node", "component")
+        new = hooked.join(F.broadcast(jump), "via") if few(labels, 1_000_000) else join_one(hooked, jump, "via")
+        labels = scratch.put(new.select("node", F.least("via", "further").alias("component"), (F.least("via", "further") < F.col("old")).alias("moved")))
+    out = materialize(labels.select("node", "component"), f"{tag}-components")
+    scratch.drop()
+    return out
 
 
 #: Rows of a bucket that every later row is compared with.
 LEADERS = 8
 
 
+def in_common(entries: DataFrame) -> DataFrame:
+    """The entries whose sig another entry has, too. They are dealt by sig once, for the count and for the choice."""
+    dealt = entries.where("sig is not null and id is not null").repartition("sig")
+    others = [c for c in entries.columns if c != "sig"]
+    shared = dealt.groupBy("sig").agg(F.count("*").alias("_n"), *(F.max(c).alias(f"_{c}") for c in others)).where("_n > 1")  # all columns, so that both read one exchange
+    return dealt.join(shared.hint("shuffle_hash"), "sig").where(F.col("_id") >= F.col("id")).select(*entries.columns)
+
+
 def bucket_groups(
     entries: DataFrame,
     close: Callable[[Column, Column], Column],
-    distance: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame], DataFrame],
     tag: str,
-    details: DataFrame | None = None,
+    attributes: DataFrame | None = None,
+    details: Callable[[DataFrame], DataFrame] | None = None,
     closer: Callable[[Column, Column], Column] | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Edges (a, b) that connect exactly the nodes that links connect; a link is a pair in a common bucket that verify() keeps.
-
-    entries: rows (sig, id, further columns), one for each bucket of a node. close(a, b) tells from two such rows whether they
-    can be linked, distance(a, b) which link is likelier. Within a bucket every row meets the first LEADERS rows, so smaller
-    buckets are covered whole. Each node's nearest such partner is verified; what these links join is one group. The other
-    partners, then pairs of later rows of large buckets, are only verified where they lie in different groups by then. So a
-    group of copies costs about one pair for each member, and every pair of a bucket is either verified or within a group.
-    details: rows (id, further columns) with which closer(a, b) tells more exactly, of pairs only, whether they can be linked.
+    """Components (node, component) of links; a link is a pair in a common bucket that verify() keeps, or an edge of `known`.
+
+    entries: rows (sig, id, further columns), one for each bucket of a node; attributes: rows (id, further columns), joined to
+    the entries that share a bucket. close(a, b) tells from two such rows whether they can be linked. Within a bucket every row
+    meets the first LEADERS rows, so smaller buckets are covered whole. Each node's partner in most buckets is verified first;
+    what these links join is one group. The other partners, then pairs of later rows of large buckets, are only verified where
+    they lie in different groups by then. So a group of copies costs about one pair for each member, and every pair of a bucket
+    is either verified or within a group. details(ids): a written table (id, further columns) of those nodes, with which
+    closer(a, b) tells more exactly, of pairs only, whether they can be linked.
     """
-    attributes = [c for c in entries.columns if c != "sig"]
+    scratch = Scratch(entries.sparkSession, tag)
+    common = in_common(entries)
+    if attributes is not None:
+        common = join_small(common, attributes, "id", "inner")
+    columns = [c for c in common.columns if c != "sig"]
     at = Window.partitionBy("sig").orderBy("id")
-    common = entries.withColumn("rank", F.row_number().over(at)).withColumn("next", F.lead("id").over(at)).where("rank > 1 or next is not null")
     seen = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    me = F.struct(*attributes)
-    rows = common.withColumn("firsts", F.array(*(F.nth_value(me, i + 1).over(seen) for i in range(LEADERS)))).where("rank > 1")
-    none = [F.lit(None).cast(dict(entries.dtypes)[c]).alias(c) for c in attributes]
-    met = F.transform(
-        F.filter("firsts", lambda x: x.isNotNull() & (x["id"] != F.col("id")) & close(x, me)),
-        lambda x: F.struct(F.lit(0).alias("kind"), x["id"].alias("a"), F.col("id").alias("b"), distance(x, me).cast("long").alias("d"), F.lit(None).cast("long").alias("sig"), F.struct(*none).alias("row")),
-    )
-    late = F.struct(F.lit(1).alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), F.lit(None).cast("long").alias("d"), "sig", me.alias("row"))
-    found = rows.select(F.explode(F.concat(met, F.when(F.col("rank") > LEADERS, F.array(late)).otherwise(F.array()))).alias("f")).select("f.*")
-    found = materialize(found.distinct(), f"{tag}-found", "kind")
-    met = found.where("kind = 0").select("a", "b", "d")
+    me = F.struct(*columns)
+    rows = common.withColumn("rank", F.row_number().over(at)).withColumn("next", F.lead("id").over(at)).withColumn("firsts", F.array(*(F.nth_value(me, i + 1).over(seen) for i in range(LEADERS)))).where("rank > 1")
+    none = F.lit(None).cast(common.select(me.alias("r")).schema["r"].dataType)
+    pair = lambda x: F.struct(F.lit(0).alias("kind"), x["id"].alias("a"), F.col("id").alias("b"), F.lit(None).cast("long").alias("sig"), none.alias("row"))
+    met = F.transform(F.filter("firsts", lambda x: x.isNotNull() & (x["id"] != F.col("id")) & close(x, me)), pair)
+    late = F.struct(F.lit(1).alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), F.col("sig").alias("sig"), me.alias("row"))
+    found = scratch.put(rows.select(F.explode(F.concat(met, F.when(F.col("rank") > LEADERS, F.array(late)).otherwise(F.array()))).alias("f")).select("f.*"), "kind")
+    met = scratch.put(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("n")))
     rest = found.where("kind = 1").select("sig", "row.*")
     if details is not None:
-        known = lambda c, x: details.select(F.col("id").alias(c), F.struct(*details.columns).alias(x))
-        met = materialize(met.join(known("a", "x"), "a").join(known("b", "y"), "b").where(closer(F.col("x"), F.col("y"))).select("a", "b", "d"), f"{tag}-met")
-        rest = rest.join(known("id", "more"), "id")
-
-    def label(df: DataFrame, groups: DataFrame, c: str) -> DataFrame:
-        return df.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-
-    nearest = materialize(met.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), f"{tag}-nearest")
-    joined = components(verify(nearest), f"{tag}-first")
+        of = details(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        side = lambda c, x: of.select(F.col("id").alias(c), F.struct(*of.columns).alias(x))
+        met = join_small(join_one(met, side("a", "x"), "a", "inner", 200_000), side("b", "y"), "b", "inner", 200_000).where(closer(F.col("x"), F.col("y"))).select("a", "b", "n")
+        met, rest = scratch.put(met), join_small(rest, of.select("id", F.struct(*of.columns).alias("more")), "id", "inner", 200_000)
+
+    def label(df: DataFrame, groups: DataFrame, c: str, hot: bool = False) -> DataFrame:
+        named = groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+        return (join_one if hot else join_small)(df, named, c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+
+    nearest = scratch.put(met.groupBy("b").agg(F.min(F.struct((-F.col("n")).alias("n"), "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
+    first = verify(nearest)
+    joined = components(first if known is None else first.unionByName(known.select("a", "b")), f"{tag}-first")
     as_edges = lambda g: g.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    across = label(label(met.join(nearest, ["a", "b"], "left_anti"), joined, "a"), joined, "b").where("c_a <> c_b").select("a", "b").distinct()
-    across = materialize(across, f"{tag}-across")
+    others = scratch.put(met.join(nearest, ["a", "b"], "left_anti"))
+    across = label(label(others, joined, "a", True), joined, "b").where("c_a <> c_b").select("a", "b")
+    across = scratch.put(across)
     if across.take(1):
-        joined = components(as_edges(joined).union(verify(across)), f"{tag}-second")
-    if not rest.take(1):
-        return as_edges(joined)
-    placed = materialize(label(rest, joined, "id"), f"{tag}-rest")
-    l, r = (placed.select(F.col("sig").alias(f"sig_{x}"), F.struct(*(c for c in placed.columns if c != "sig")).alias(x)) for x in "lr")
-    can = (F.col("sig_l") == F.col("sig_r")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c_id") != F.col("r.c_id")) & close(F.col("l"), F.col("r"))
-    if details is not None:
-        can &= closer(F.col("l.more"), F.col("r.more"))
-    more = materialize(l.join(r, can).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), f"{tag}-more")
-    return as_edges(joined).union(materialize(verify(more), f"{tag}-late")) if more.take(1) else as_edges(joined)
+        further = scratch.put(verify(across))
+        if further.take(1):
+            joined = components(as_edges(joined).union(further), f"{tag}-second")
+    if found.where("kind = 1").take(1):
+        placed = scratch.put(label(rest, joined, "id"))
+        l, r = (placed.select(F.col("sig").alias(f"sig_{x}"), F.struct(*(c for c in placed.columns if c != "sig")).alias(x)) for x in "lr")
+        can = (F.col("sig_l") == F.col("sig_r")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c_id") != F.col("r.c_id")) & close(F.col("l"), F.col("r"))
+        if details is not None:
+            can &= closer(F.col("l.more"), F.col("r.more"))
+        more = scratch.put(l.join(r, can).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
+        if more.take(1):
+            further = scratch.put(verify(more))
+            if further.take(1):
+                joined = components(as_edges(joined).union(further), f"{tag}-third")
+    scratch.drop()
+    return joined

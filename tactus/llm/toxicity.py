@@ -150,6 +150,7 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, n: int, rounds: int =
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     own = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    own = S.materialize(own, "labels")
     texts = S.join_small(docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), own, "doc_id", "inner")
     totals = {r.toxic: r["count"] for r in own.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("toxic").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -169,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             yield pa.record_batch([batch.column(1), pa.array([model.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["toxic", "features"])
 
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("doc_id")
+    chosen = S.materialize(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("doc_id"), "fit-rows")
     sample = S.join_small(texts, chosen, "doc_id", "left_semi").select("text", "toxic").mapInArrow(run, "toxic int, features array<int>").toPandas()
     sets = [list(x) for x in sample["features"]]
     truth = sample["toxic"].to_numpy(np.float64)
