@@ -84,12 +84,20 @@ def branches(rows: DataFrame) -> DataFrame:
     return simple.select("conv_id", "turn", "parent", "n_quoted", "n_linked", "branch")
 
 
+OWN = ("parent", "branch", "position", "n_quoted", "n_linked", "clean")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
-    """messages, all columns, with parent, branch, position in reply order from 0, and `clean`: the text without quoted lines."""
+    """messages with parent, branch, position in reply order from 0, n_quoted, n_linked and `clean`: the text without quoted lines.
+
+    Columns of messages stay, but for those of these names, which the results replace.
+    """
     placed = branches(replies(messages))
     order = Window.partitionBy("conv_id").orderBy("branch", "turn")
     placed = placed.withColumn("position", F.row_number().over(order).cast("long") - 1)
-    names = {c: f"_{c}" for c in ("conv_id", "turn")}
-    joined = messages.join(placed.withColumnsRenamed(names), (F.col("conv_id") == F.col("_conv_id")) & (F.col("turn") == F.col("_turn")), "left").drop(*names.values())
-    clean = F.array_join(F.filter(F.split("text", "\n"), lambda l: level(l) == 0), "\n")
-    return joined.withColumn("clean", F.when(F.coalesce("n_quoted", F.lit(1)) == 0, F.col("text")).otherwise(F.trim(clean)))
+    placed = placed.select(F.struct("conv_id", "turn").alias("key"), F.struct("parent", "branch", "position", "n_quoted", "n_linked").alias("found"))
+    rows = messages.select(F.struct(*(c for c in messages.columns if c not in OWN)).alias("m"))
+    joined = rows.join(placed, (F.col("m.conv_id") == F.col("key.conv_id")) & (F.col("m.turn") == F.col("key.turn")), "left")
+    text = F.col("m.text")
+    clean = F.array_join(F.filter(F.split(text, "\n"), lambda l: level(l) == 0), "\n")
+    return joined.select("m.*", "found.*", F.when(F.coalesce("found.n_quoted", F.lit(1)) == 0, text).otherwise(F.trim(clean)).alias("clean"))
