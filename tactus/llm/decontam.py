@@ -9,8 +9,8 @@ of the weight of all their shingles. Windows without any shingle of the benchmar
 The benchmark goes to the executors in blocks of at most BLOCK_ITEMS items, one pass over the documents for each block, so what
 a task holds is bounded whatever the benchmark's size.
 
-Defined results: A-Z count as a-z; items without words match nothing; items of fewer than five words are one shingle; null and
-empty texts hold nothing; repeated rows are reported each; rows with a null doc_id are reported with it; extra columns are
+Defined results: A-Z count as a-z; items without words match nothing; items of fewer than five words are one shingle; a text that
+is shorter than an item is a window by itself; null and empty texts hold nothing; repeated rows are reported each; rows with a null doc_id are reported with it; extra columns are
 ignored. Of the places where a document holds an item, the most similar, then the first, is reported.
 """
 
@@ -82,15 +82,15 @@ class Index:
         common = weight[i].sum()
         return float(common / (weight.sum() + weight_t.sum() - common))
 
-    def candidates(self, fps: np.ndarray, size: int) -> set[tuple[int, int]]:
-        """(window, item) of that size within RADIUS bits."""
+    def candidates(self, fps: np.ndarray, size: int, longer: bool = False) -> set[tuple[int, int]]:
+        """(window, item) within RADIUS bits of items of that size, or with `longer` of larger ones."""
         out = set()
         for b, (at, items) in enumerate(self.tables):
             key = ((fps >> U64(16 * b)) & U64(0xFFFF)).astype(np.int64)
             n = at[key + 1] - at[key]
             window = np.repeat(np.arange(len(fps)), n)
             item = items[np.repeat(at[key] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            near = (self.size[item] == size) & (np.bitwise_count(fps[window] ^ self.fp[item]) <= RADIUS)
+            near = (self.size[item] > size if longer else self.size[item] == size) & (np.bitwise_count(fps[window] ^ self.fp[item]) <= RADIUS)
             out.update(zip(window[near].tolist(), item[near].tolist(), strict=True))
         return out
 
@@ -118,8 +118,13 @@ class Index:
                     s = self.similarity(item, h[at : at + size], w[at : at + size])
                     if s >= LEAST and (item not in best or (-s, at) < (-best[item][0], best[item][1])):
                         best[item] = s, at
+            if len(h) < self.size.max():  # larger items: the whole text is the window
+                for _, item in self.candidates(simhash(h, w, np.zeros(1, np.int64), len(h)), len(h), True):
+                    s = self.similarity(item, h, w)
+                    if s >= LEAST and item not in best:
+                        best[item] = s, 0
         for item, (s, at) in best.items():
-            yield self.ids[item], at, int(self.size[item]), s
+            yield self.ids[item], at, min(len(h), int(self.size[item])), s
 
 
 _INDEX: dict[int, Index] = {}
@@ -133,42 +138,67 @@ def _index(items: list[tuple[int, str]]) -> Index:
     return _INDEX[key]
 
 
+def _found(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
+    """(row, item_id, first word, words, similarity) of the items in a column of texts."""
+    for first, raw, offsets in S.chunks(texts):
+        hashes, starts, ends, at = S.word_hashes(raw, offsets)
+        held = np.zeros(len(hashes) + 1, bool)
+        if len(hashes) >= WIDTH and WIDTH in index.known:  # most texts hold no shingle; told for all texts at once
+            held[: len(hashes) - WIDTH + 1] = np.isin(S.windows(hashes, WIDTH), index.known[WIDTH])
+        some = np.add.reduceat(np.concatenate([held, [False]]), at[:-1]) if len(at) > 1 else []
+        for i in range(len(at) - 1):
+            if at[i] < at[i + 1] and (some[i] or index.widths[:1] != [WIDTH]):
+                a, b = at[i], at[i + 1]
+                for x in index.search(hashes[a:b], (ends - starts)[a:b]):
+                    yield (first + i, *x)
+
+
 def _search(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(items)
         for batch in batches:
-            rows = []
-            for first, raw, offsets in S.chunks(batch.column(1)):
-                hashes, starts, ends, at = S.word_hashes(raw, offsets)
-                held = np.zeros(len(hashes) + 1, bool)
-                if len(hashes) >= WIDTH and WIDTH in index.known:  # most texts hold no shingle; told for all texts at once
-                    held[: len(hashes) - WIDTH + 1] = np.isin(S.windows(hashes, WIDTH), index.known[WIDTH])
-                some = np.add.reduceat(np.concatenate([held, [False]]), at[:-1]) if len(at) > 1 else []
-                for i in range(len(at) - 1):
-                    if at[i] < at[i + 1] and (some[i] or index.widths[:1] != [WIDTH]):
-                        a, b = at[i], at[i + 1]
-                        rows += [(first + i, *x) for x in index.search(hashes[a:b], (ends - starts)[a:b])]
+            rows = list(_found(index, batch.column(1)))
             ids = batch.column(0)
             yield pa.record_batch([ids.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.float64())))], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, FOUND)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, start_word, n_words, similarity): the items that documents hold."""
+def _clean(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(items)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            drop = {r[0] for r in _found(index, texts.fill_null(""))}
+            yield batch.filter(pa.array([i not in drop for i in range(len(batch))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's different items, by BLOCK_ITEMS."""
+    block = []
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates()
-    out, block = None, []
     for row in items.orderBy("item_id", "text").toLocalIterator():
         block.append((row.item_id, row.text))
         if len(block) == BLOCK_ITEMS:
-            out, block = _search(docs, block) if out is None else out.unionByName(_search(docs, block)), []
-    if block or out is None:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows (doc_id, item_id, start_word, n_words, similarity): the items that documents hold."""
+    out = None
+    for block in _blocks(benchmark):
         found = _search(docs, block)
         out = found if out is None else out.unionByName(found)
-    return out
+    return _search(docs, []).limit(0) if out is None else out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, without the documents that hold a benchmark item."""
-    held = S.materialize(leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "leaks")
-    return S.join_small(docs, held, "doc_id", "left_anti")
+    """docs, all columns, without the rows whose own text holds a benchmark item."""
+    for block in _blocks(benchmark):
+        docs = _clean(docs, block)
+    return docs
