@@ -1,8 +1,8 @@
 """Quality rules for documents and for their hosts, as DataFrame expressions only.
 
 Every document gets counts of its whole text and rule failures. Failures are summed by host; a host's rate of each rule is
-shrunk towards all hosts with a beta prior whose parameters come from the moments of the hosts' own rates, so a host with few
-documents says little. A host is rejected where a shrunk rate exceeds `MOST`; its documents go with it.
+shrunk towards all hosts with a beta prior whose parameters come from the data: the rate of all documents, and how much more the
+hosts' rates differ than chance makes them. So a host with few documents says little. A host is rejected where a shrunk rate exceeds `MOST`; its documents go with it.
 
 Words are runs of other characters than space, tab, line feed, vertical tab, form feed and carriage return. Defined results:
 null and empty texts have no words and fail the length rule; a null host is a host of its own; a repeated row counts each time;
@@ -85,19 +85,25 @@ def failures(rows: DataFrame) -> DataFrame:
 
 
 def host_verdicts(rows: DataFrame) -> DataFrame:
-    """Rows (host, rejected): the shrunk rate of some rule exceeds MOST.
+    """Rows (host, worst_rate, rejected): the shrunk rate of some rule exceeds MOST.
 
-    The prior of a rule has the mean m and the variance v of the hosts' rates: a + b = m (1 - m) / v - 1, at least 1; where all
-    hosts agree nothing needs shrinking by more than 1000 documents.
+    The beta prior of a rule has the mean m of all documents and the weight a + b = 1 / rho - 1, where rho is the correlation of
+    failures within hosts: what the hosts' rates, weighted by their documents, vary more than chance makes them vary. Chance
+    counts for hosts of few documents, so those say little about rho; the weight lies between 1 and 999.
     """
+    n = F.col("n")
     sums = rows.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES))
-    moments = sums.agg(*(f(F.col(r) / F.col("n")).alias(f"{k}_{r}") for r in RULES for k, f in (("m", F.avg), ("v", F.var_pop)))).first()
+    moments = sums.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(n * n / 1.0).alias("q"), *(f.alias(f"{k}_{r}") for r in RULES for k, f in (("x", F.sum(r)), ("s", F.sum(F.col(r) * F.col(r) / n))))).first()
+    hosts, total = moments["k"], moments["n"] or 0
     shrunk = []
-    for r in RULES:  # ten numbers, of all hosts
-        m, v = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0
-        weight = max(1.0, min(1000.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
-        shrunk.append((F.col(r) + m * weight) / (F.col("n") + weight))
-    return sums.select("host", F.greatest(*(F.coalesce(x, F.lit(0.0)) for x in shrunk), F.lit(0.0)).alias("worst_rate")).withColumn("rejected", F.col("worst_rate") > MOST)
+    for r in RULES:  # a dozen numbers, of all hosts
+        m = (moments[f"x_{r}"] or 0) / total if total else 0.0
+        free = total - moments["q"] / total - (hosts - 1) if total else 0.0
+        spread = (moments[f"s_{r}"] - total * m * m) / (m * (1 - m)) if 0 < m < 1 else 0.0
+        rho = min(0.5, max(0.001, (spread - (hosts - 1)) / free)) if free > 0 and spread else 0.001
+        weight = 1 / rho - 1
+        shrunk.append((F.col(r) + m * weight) / (n + weight))
+    return sums.select("host", F.greatest(*shrunk, F.lit(0.0)).alias("worst_rate")).withColumn("rejected", F.col("worst_rate") > MOST)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -105,6 +111,6 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = S.materialize(failures(counts(docs)), "host-counts")
     hosts = host_verdicts(rows)
     failed = F.col("short") | F.col("repeats")
-    hosts = hosts.select(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("")).alias("h"), "rejected", "worst_rate")
+    hosts = S.materialize(hosts.select(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("")).alias("h"), "rejected", "worst_rate"), "host-verdicts")
     joined = S.join_small(rows.withColumn("h", F.coalesce(F.concat(F.lit("h"), "host"), F.lit(""))), hosts, "h", "left", most=100_000)
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce("rejected", F.lit(False)))

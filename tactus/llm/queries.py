@@ -77,12 +77,15 @@ k as (select doc_id, i, count(*) over (partition by doc_id, g) as k from g),
 r as (select doc_id, count(distinct i + j) as n from (select doc_id, i, unnest(range(8)) as j from k where k > 1) group by doc_id),
 f as (select w.doc_id, host, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words from w left join r on w.doc_id = r.doc_id),
 x as (select *, n_words < 20 as short, 100 * n_repeat_words > 30 * n_words as repeats, 10 * n_symbols > n_words as symbols, 10 * n_dup_lines > n_words as lines, word_chars < 3 * n_words or word_chars > 12 * n_words as word_length from f),
-h as (select host, count(*) as n, {sums} from x group by host), m as (select {moments} from h),
+h as (select host, count(*) as n, {sums} from x group by host), t as (select count(*) as k, sum(n) as total, sum(n::double * n) as q, {totals} from h), m as (select {moments} from t),
 v as (select host, greatest({rates}, 0) > 0.5 as rejected from h, m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short or repeats as base_failed, not (short or repeats) and not coalesce(rejected, false) as kept from x left join v on x.host is not distinct from v.host"""
-_M = "coalesce(({r} + m_{r} * k_{r}) / (n + k_{r}), 0)"
-_K = "case when var_pop({r} / n) > 0 then greatest(1.0, least(1000.0, avg({r} / n) * (1 - avg({r} / n)) / var_pop({r} / n) - 1)) else 1000.0 end as k_{r}"
-OP2 = OP2.replace("{sums}", ", ".join(f"sum({r}::int) as {r}" for r in host_rules.RULES)).replace("{moments}", ", ".join(f"avg({r} / n) as m_{r}, {_K.replace('{r}', r)}" for r in host_rules.RULES)).replace("{rates}", ", ".join(_M.replace("{r}", r) for r in host_rules.RULES))
+_M = "({r} + m_{r} * k_{r}) / (n + k_{r})"
+_R = "case when x_{r} = 0 or x_{r} = total or total - q / total - (k - 1) <= 0 then 0.001 else least(0.5, greatest(0.001, ((s_{r} - x_{r}::double * x_{r} / total) / (x_{r} / total * (1 - x_{r} / total)) - (k - 1)) / (total - q / total - (k - 1)))) end"
+_K = "x_{r} / total as m_{r}, 1 / (" + _R + ") - 1 as k_{r}"
+OP2 = OP2.replace("{sums}", ", ".join(f"sum({r}::int) as {r}" for r in host_rules.RULES))
+OP2 = OP2.replace("{totals}", ", ".join(f"sum({r}) as x_{r}, sum({r}::double * {r} / n) as s_{r}" for r in host_rules.RULES))
+OP2 = OP2.replace("{moments}", ", ".join(_K.replace("{r}", r) for r in host_rules.RULES)).replace("{rates}", ", ".join(_M.replace("{r}", r) for r in host_rules.RULES))
 
 OP7 = r"""with p as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as r from pages),
 q as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from p),
