@@ -42,7 +42,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.new_path(spark, "token-file")
-    return token_file.read(spark, folder, token_file.write(table(spark, sf_dir, "documents"), folder, tokenizer(WORD_BPE)))
+    return token_file.read(spark, folder, token_file.write(table(spark, sf_dir, "documents"), folder, tokenizer(WORD_BPE), by_word=True))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

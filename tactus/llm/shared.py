@@ -119,6 +119,8 @@ _ODD = U64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _ODD)
 _SEP = np.zeros(256, bool)
 _SEP[list(SEPARATORS)] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _POW = {"n": 0}
@@ -156,11 +158,11 @@ def chunks(texts: pa.Array, most_bytes: int = 1 << 20):
         first = last
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, separators: np.ndarray = _SEP):
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, separators: np.ndarray = _SEP, tails: np.ndarray | None = None):
     """64-bit hashes of all words of a slice, their first bytes and ends, and where each text's words begin.
 
     Words are runs of other bytes than SEPARATORS, or than those that `separators` marks; texts do not run into one another; A-Z
-    count as a-z with lower.
+    count as a-z with lower. A last byte that `tails` marks, after an ASCII letter, is a word of its own.
     """
     n = len(raw)
     inside = ~separators[raw]
@@ -177,6 +179,9 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, separa
     inner = cut[cut > 0]
     stop[inner] = inside[inner - 1]
     ends = np.flatnonzero(stop)
+    if tails is not None and len(starts):
+        apart = ends[(ends - starts > 1) & tails[raw[ends - 1]] & _LETTER[raw[np.maximum(ends - 2, 0)]]] - 1
+        starts, ends = np.sort(np.concatenate([starts, apart])), np.sort(np.concatenate([ends, apart]))
     p, q = _powers(n + 1)
     total = np.zeros(n + 1, U64)
     np.cumsum((_LOWER if lower else _BYTE)[raw] * p[:n], out=total[1:])

@@ -1,27 +1,30 @@
 """Token ids as Arrow files of equal-length sequences.
 
-Documents are dealt by ranges of doc_id, encoded with the tokenizers library and written, one shard for each range, in
-ascending order. A shard is two Arrow IPC files (the stream format with a footer): `*.sequences.arrow` with record batches of
+Documents are encoded with the tokenizers library, their ids dealt by ranges of doc_id and written, one shard for each range,
+in ascending order. A shard is two Arrow IPC files (the stream format with a footer): `*.sequences.arrow` with record batches of
 two fixed-size-list columns, ids and mask, and `*.documents.arrow` with each document's place. Every sequence has the same
-length, so sequence i of a memory-mapped shard is a slice of one buffer, without a copy; only the last sequence of a shard is
-padded, and its mask says so. A shard is written under another name and renamed when whole, and the manifest, written to the
-shared folder after all shards, names those that count: a lost executor leaves at most a file that nothing names.
+length and every batch but the last as many sequences, so sequence i of a memory-mapped shard is a slice of one buffer of a
+batch that its number tells, without a copy; only the last sequence of a shard is padded, and its mask says so. A shard is
+written under another name and renamed when whole, and the manifest, written to the shared folder after all shards, names those
+that count: a lost executor leaves at most a file that nothing names.
 
-Words between spaces are encoded once for a worker: this tokenizer's splits never reach over white space, so the ids of a text
-are the ids of its words.
+With by_word=True words between spaces and line feeds are encoded once for a worker and texts are put together from them. The
+caller states by it that the tokenizer drops white space, that no token or rule reaches over it, that A-Z count as a-z, and that
+a full stop or comma after a letter at a word's end is taken apart, as with the one that the registered query uses (a test
+compares it with whole texts); otherwise texts are encoded whole.
 
 Defined results: null text counts as empty and gives the end id only; null doc_ids come first; rows with the same doc_id
-follow in the order of their texts' hashes; extra columns are ignored.
+follow in the order of their texts' hashes; extra columns are ignored; very long texts are encoded whole.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,44 +32,83 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-SEQUENCE = 2048
+SEQUENCE, BATCH = 2048, 256
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 MANIFEST = "shard int, path string, n_documents long, n_tokens long"
 PLACES = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 10]] = True
+#: A full stop or a comma at a word's end.
+_TAIL = np.zeros(256, bool)
+_TAIL[[44, 46]] = True
 
 
-class WordEncoder:
-    """Ids of whole texts with a tokenizer that drops white space."""
+class Encoder:
+    """Ids of whole texts, with the end id, as little-endian integers of the least width that the vocabulary allows."""
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, by_word: bool, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        rules = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.by_word = "Split" in json.dumps(rules["pre_tokenizer"]) and not rules["post_processor"] and "\\s" in json.dumps(rules["normalizer"])
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_word:
-            return self._encode([t or "" for t in texts])
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words = {"": b""}
-        new = sorted({w for words in split for w in words}.difference(self.words))
-        self.words.update(zip(new, self._encode(new), strict=True))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.by_word, self.end_id = by_word, end_id
+        self.forget()
+
+    def forget(self) -> None:
+        """Word 0 is the end."""
+        self.at: dict[int, int] = {}
+        self.start, self.size, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end_id], self.dtype)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        ids = self._encode(words)
+        size = np.array([len(x) for x in ids], np.int64)
+        first = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
+        self.at.update(zip(hashes, range(len(self.start), len(self.start) + len(words)), strict=True))
+        self.start, self.size = np.concatenate([self.start, first]), np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], self.dtype)])
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+        """(first row, ids as binary) of slices of a text column."""
+        for first, raw, offsets in S.chunks(texts, 2 << 20):
+            n = len(offsets) - 1
+            if self.by_word:
+                ids, ends = self._by_word(raw, offsets)
+            else:
+                lists = self._encode([raw[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                ids = np.array([i for x in lists for i in (*x, self.end_id)], self.dtype)
+                ends = np.cumsum([len(x) + 1 for x in lists])
+            at = np.concatenate([[0], ends]).astype(np.int64) * self.dtype.itemsize
+            yield first, pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(ids))])
+
+    def _by_word(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice and where each text's end."""
+        hashes, starts, ends, at = S.word_hashes(raw, offsets, True, _SPACE, _TAIL)
+        place, different = pd.factorize(hashes)
+        if len(self.start) > REMEMBERED:
+            self.forget()
+        known = [self.at.get(h, -1) for h in different.tolist()]
+        new = [k for k, i in enumerate(known) if i < 0]
+        if new:
+            seen = np.zeros(len(different), np.int64)
+            seen[place[::-1]] = np.arange(len(place))[::-1]  # the first place of each
+            hs = different[new].tolist()
+            self._learn(hs, [raw[starts[i] : ends[i]].tobytes().decode() for i in seen[new].tolist()])
+            known = [self.at[h] for h in different.tolist()]
+        words = np.insert(np.array(known, np.int64)[place] if len(place) else np.zeros(0, np.int64), at[1:], 0)
+        size = self.size[words]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[words] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, upto[at[1:] + np.arange(len(at) - 1)]
 
 
 @lru_cache(2)
-def encoder(file: str) -> WordEncoder:
-    return WordEncoder(file)
+def encoder(file: str, by_word: bool, end_id: int) -> Encoder:
+    return Encoder(file, by_word, end_id)
 
 
 def _files(uri: str):
@@ -83,7 +125,7 @@ class ShardWriter:
         self.system.create_dir(base, recursive=True)
         self.path, self.dtype, self.length = f"{base}/{name}", dtype, length
         ids, mask = (pa.list_(pa.field("item", x, nullable=False), length) for x in (pa.from_numpy_dtype(dtype), pa.bool_()))
-        self.schema = pa.schema([pa.field("ids", ids, nullable=False), pa.field("mask", mask, nullable=False)], metadata={"sequence": str(length), "end_id": str(end_id)})
+        self.schema = pa.schema([pa.field("ids", ids, nullable=False), pa.field("mask", mask, nullable=False)], metadata={"sequence": str(length), "batch": str(BATCH), "end_id": str(end_id)})
         self.out = self.system.open_output_stream(f"{self.path}.sequences.part")
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.held, self.held_n, self.total, self.places = [], 0, 0, []
@@ -94,19 +136,21 @@ class ShardWriter:
         self.total += n
         self.held.append(ids)
         self.held_n += n
-        if self.held_n >= 256 * self.length:
+        if self.held_n >= BATCH * self.length:
             self.flush()
 
     def flush(self, last: bool = False) -> None:
+        """Write all full batches, and with `last` what is left."""
         flat = np.frombuffer(b"".join(self.held), self.dtype)
-        rows = -(-len(flat) // self.length) if last else len(flat) // self.length
-        used = min(len(flat), rows * self.length)
-        ids = np.zeros(rows * self.length, self.dtype)
-        ids[:used] = flat[:used]
-        if rows:
-            columns = [pa.array(ids), pa.array(np.arange(len(ids)) < used)]
+        per, at = BATCH * self.length, 0
+        while len(flat) - at >= per or last and at < len(flat):
+            part = flat[at : at + per]
+            ids = np.zeros(-(-len(part) // self.length) * self.length, self.dtype)
+            ids[: len(part)] = part
+            columns = [pa.array(ids), pa.array(np.arange(len(ids)) < len(part))]
             self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(x, type=f.type) for x, f in zip(columns, self.schema, strict=True)], schema=self.schema))
-        self.held, self.held_n = [flat[used:].tobytes()], len(flat) - used
+            at += len(part)
+        self.held, self.held_n = [flat[at:].tobytes()], len(flat) - at
 
     def close(self) -> str:
         self.flush(last=True)
@@ -120,26 +164,34 @@ class ShardWriter:
         return self.path
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID, by_word: bool = False) -> DataFrame:
     """Write the shards below `folder` (any address that pyarrow's file systems know); returns the manifest."""
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(tokenizer, by_word, end_id)
+        for batch in batches:
+            for first, ids in model.encode(batch.column(2)):
+                part = batch.slice(first, len(ids))
+                yield pa.record_batch([part.column(0), part.column(1), ids.cast(pa.binary())], names=["doc_id", "row", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, writer, task = encoder(tokenizer), None, TaskContext.get()
+        writer, task, dtype = None, TaskContext.get(), encoder(tokenizer, by_word, end_id).dtype
         for batch in batches:
-            for first, _, offsets in S.chunks(batch.column(1), 4 << 20):
-                part = batch.slice(first, len(offsets) - 1)
-                if writer is None and len(part):
-                    writer = ShardWriter(folder, f"shard-{task.partitionId():06d}-{task.taskAttemptId()}", model.dtype, length, end_id)
-                end = np.array([end_id], model.dtype).tobytes()
-                for doc_id, ids in zip(part.column(0).to_pylist(), model.encode(part.column(1).to_pylist()), strict=True):
-                    writer.add(doc_id, ids + end)
+            if writer is None and len(batch):
+                writer = ShardWriter(folder, f"shard-{task.partitionId():06d}-{task.taskAttemptId()}", dtype, length, end_id)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                writer.add(doc_id, ids)
         if writer:
             path = writer.close()
             yield pa.record_batch([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([len(writer.places)], pa.int64()), pa.array([writer.total], pa.int64())], names=["shard", "path", "n_documents", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return S.materialize(dealt.mapInArrow(run, MANIFEST), "token-manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    scratch = S.Scratch(docs.sparkSession, "token-ids")
+    ids = scratch.put(rows.mapInArrow(encode, "doc_id long, row long, ids binary"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("row"))
+    manifest = S.materialize(ids.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, MANIFEST), "token-manifest")
+    scratch.drop()
+    return manifest
 
 
 def open_shard(folder: str, path: str):
@@ -152,13 +204,11 @@ def open_shard(folder: str, path: str):
 def sequence(folder: str, path: str, i: int) -> tuple[pa.Array, pa.Array]:
     """Ids and mask of sequence i of a shard."""
     file, _ = open_shard(folder, path)
-    for k in range(file.num_record_batches):
-        batch = file.get_batch(k)
-        if i < len(batch):
-            n = batch.schema.field("ids").type.list_size
-            return tuple(batch.column(c).values.slice((batch.column(c).offset + i) * n, n) for c in (0, 1))
-        i -= len(batch)
-    raise IndexError(i)
+    k, row = divmod(i, int(file.schema.metadata[b"batch"]))
+    if not 0 <= k < file.num_record_batches or row >= len(batch := file.get_batch(k)):
+        raise IndexError(i)
+    n = batch.schema.field("ids").type.list_size
+    return tuple(batch.column(c).values.slice((batch.column(c).offset + row) * n, n) for c in (0, 1))
 
 
 def _tokens(file: pa.ipc.RecordBatchFileReader) -> Iterator[np.ndarray]:
