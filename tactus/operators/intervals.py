@@ -44,7 +44,7 @@ def binned_overlap_join(left: DataFrame, right: DataFrame, key: str, l: tuple[st
 def around(points: DataFrame, others: DataFrame, key: str, at: str, other_at: str, values: list[str]) -> DataFrame:
     """points with `_before` and `_after`: structs of the last other row not after a point and of the first one after it.
 
-    One sort of both sides by (key, time), never their pairs. Of other rows at one time the largest `values` are the one before
+    One shuffle of both sides by key and a sort each way, never their pairs. Of other rows at one time the largest `values` are the one before
     and the smallest the one after; either is null where there is none.
     """
     mark = F.struct(*(F.col(v) for v in values))
