@@ -488,6 +488,44 @@ def test_lines_of_the_tables_against_all_distances(spark, tmp_path):
     assert len(want) > 20 and lost <= want and len(lost) >= 0.9 * len(want)
 
 
+def test_lines_of_a_frequent_block_are_told_apart(spark, monkeypatch):
+    """Lines that share two words and little else are not compared pair by pair; those with a changed letter stay linked."""
+    rng = random.Random(5)
+    lines = ["of the " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(120)]
+    lines += [t[:-1] + "é" for t in lines[::10]]
+    lines += ["run of four " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
+    asked, whole = [], shared.bucket_groups
+
+    def counted(entries, close, verify, *rest, **named):
+        def noted(pairs):
+            asked.append(pairs.count())
+            return verify(pairs)
+
+        return whole(entries, close, noted, *rest, **named)
+
+    monkeypatch.setattr(shared, "bucket_groups", counted)
+    lost = {r.doc_id for r in line_dedup.decisions(frame(spark, lines), similar=True).collect() if not len(r.kept)}
+    assert lost == set(range(120, 132)) and sum(asked) < 150
+
+
+def test_candidates_of_similar_lines(spark):
+    """No pair of lines of up to eight words that is similar is refused before it is compared."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(600):
+        t = prose(rng, rng.randint(1, 8))[: rng.randint(2, 70)].strip() or "ab"
+        u = list(t)
+        for _ in range(rng.randint(0, max(1, len(t) // 5))):
+            k = rng.randrange(len(u) + 1)
+            u[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "é", "\U0001f3b5"])
+            u = u or ["x"]
+        rows.append((t, " ".join("".join(u).split()) or "x"))
+    side = lambda c: F.struct(*line_dedup.marks(F.col(c)))
+    pairs = spark.createDataFrame(rows, "x string, y string").select("x", "y", side("x").alias("a"), side("y").alias("b"))
+    got = pairs.select(line_dedup.similar_lines("x", "y", 80).alias("s"), line_dedup.may_link(F.col("a"), F.col("b"), 80).alias("m"), (F.levenshtein("x", "y") * 5 <= F.greatest(F.length("x"), F.length("y"))).alias("d")).collect()
+    assert sum(r.d for r in got) > 200 and all(r.s == r.d and (r.m or not r.s) for r in got)
+
+
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c\nd e f", 5, "mine", "k", 7), (2, "a b c", 6, "yours", None, 8)], "doc_id long, text string, key int, kept string, d string, _row int")
     got = {r.doc_id: r for r in line_dedup.dedup(docs, similar=True).collect()}
