@@ -20,6 +20,7 @@ follow in the order of their texts' hashes; extra columns are ignored; very long
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared as S
@@ -36,6 +37,8 @@ SEQUENCE, BATCH = 2048, 256
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it starts anew.
 REMEMBERED = 1_000_000
+#: Bytes of text that a shard has, about.
+SHARD = 8 << 20
 MANIFEST = "shard int, path string, n_documents long, n_tokens long"
 PLACES = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 _SPACE = np.zeros(256, bool)
@@ -164,15 +167,34 @@ class ShardWriter:
         return self.path
 
 
+def bounds(rows: DataFrame) -> list[tuple[bool, int, int]]:
+    """The last keys, (whether doc_id is known, doc_id, row), of all shards but the last, about SHARD bytes of text each.
+
+    They come from the keys alone, so neither texts nor ids are written or encoded for them.
+    """
+    scratch = S.Scratch(rows.sparkSession, "token-keys")
+    keys = scratch.put(rows.select("doc_id", "row", F.octet_length("text").cast("long").alias("bytes")))
+    n = max(1, -(-(keys.agg(F.sum("bytes")).first()[0] or 0) // SHARD))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "row")
+    dealt = keys.select("doc_id", "row").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "row")
+    last = sorted(tuple(r["last"]) for r in dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.max(key).alias("last")).collect())
+    scratch.drop()
+    return last[:-1]
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID, by_word: bool = False) -> DataFrame:
-    """Write the shards below `folder` (any address that pyarrow's file systems know); returns the manifest."""
+    """Write the shards below `folder` (any address that pyarrow's file systems know); returns the manifest.
+
+    The ids are held once on their way, in the shuffle to the shards.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(tokenizer, by_word, end_id)
         for batch in batches:
             for first, ids in model.encode(batch.column(2)):
                 part = batch.slice(first, len(ids))
-                yield pa.record_batch([part.column(0), part.column(1), ids.cast(pa.binary())], names=["doc_id", "row", "ids"])
+                shard = [bisect_left(last, (d is not None, d or 0, r)) for d, r in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                yield pa.record_batch([part.column(0), part.column(1), ids.cast(pa.binary()), pa.array(shard, pa.int32())], names=["doc_id", "row", "ids", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, task, dtype = None, TaskContext.get(), encoder(tokenizer, by_word, end_id).dtype
@@ -186,12 +208,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, length: int = SEQUENCE,
             yield pa.record_batch([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([len(writer.places)], pa.int64()), pa.array([writer.total], pa.int64())], names=["shard", "path", "n_documents", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    scratch = S.Scratch(docs.sparkSession, "token-ids")
-    ids = scratch.put(rows.mapInArrow(encode, "doc_id long, row long, ids binary"))
-    order = (F.col("doc_id").asc_nulls_first(), F.col("row"))
-    manifest = S.materialize(ids.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, MANIFEST), "token-manifest")
-    scratch.drop()
-    return manifest
+    last = bounds(rows)
+    dealt = rows.mapInArrow(encode, "doc_id long, row long, ids binary, shard int").repartitionById(len(last) + 1, "shard")
+    return S.materialize(dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").select("doc_id", "ids").mapInArrow(run, MANIFEST), "token-manifest")
 
 
 def open_shard(folder: str, path: str):

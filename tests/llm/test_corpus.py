@@ -488,6 +488,27 @@ def test_lines_of_the_tables_against_all_distances(spark, tmp_path):
     assert len(want) > 20 and lost <= want and len(lost) >= 0.9 * len(want)
 
 
+def test_token_file_holds_ids_once(spark, tmp_path, monkeypatch):
+    """Shards in the order of null ids, ids and texts, though no table of ids is written before they are dealt."""
+    rng, file = random.Random(8), queries.tokenizer(queries.WORD_BPE)
+    texts = [prose(rng, 40) for _ in range(60)]
+    ids = [None if i % 9 == 0 else rng.choice([-7, 3, 3, i]) for i in range(60)]
+    tables, plain = [], shared.materialize
+
+    def noted(df, *rest, **named):
+        tables.append(df.columns)
+        return plain(df, *rest, **named)
+
+    monkeypatch.setattr(shared, "materialize", noted)
+    monkeypatch.setattr(token_file, "SHARD", 1500)
+    manifest = token_file.write(frame(spark, texts, ids), str(tmp_path), file, by_word=True)
+    assert manifest.count() > 5 and not any("ids" in c for c in tables)
+    got = token_file.read(spark, str(tmp_path), manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    crc = {zlib.crc32(np.array([*x.ids, 1], "<u4").tobytes()) for x in token_file.Encoder(file, False, 1).tokenizer.encode_batch(texts, add_special_tokens=False)}
+    assert {r.ids_crc32 for r in got} == crc and sum(r.n_tokens for r in got) == got[-1].start + got[-1].n_tokens
+
+
 def test_lines_of_a_frequent_block_are_told_apart(spark, monkeypatch):
     """Lines that share two words and little else are not compared pair by pair; those with a changed letter stay linked."""
     rng = random.Random(5)
