@@ -437,9 +437,11 @@ def decode_note_runs(spark, sf_dir):
 def block_similarity(spark, sf_dir):
     """Every document and item of which neither is more than twice as long, by their whole texts."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("x"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), d.rdd.getNumPartitions())  # few bytes are much work here
+    d = d.repartition(parts, "x").groupBy("x").agg(F.collect_list("doc_id").alias("doc_ids"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("y"))
-    near = d.join(b, F.least(F.length("x"), F.length("y")) * 2 >= F.greatest(F.length("x"), F.length("y")))
-    return near.select("doc_id", "item_id", F.round(sequences.similarity("x", "y"), 9).alias("ratio"))
+    near = d.join(F.broadcast(b), F.least(F.length("x"), F.length("y")) * 2 >= F.greatest(F.length("x"), F.length("y")))
+    return near.select("doc_ids", "item_id", F.round(sequences.similarity("x", "y"), 9).alias("ratio")).select(F.explode("doc_ids").alias("doc_id"), "item_id", "ratio")
 
 
 #: Users as songs, islands of a day as lines, events as notes and moras; times in hours. A mora's confidence follows its value.

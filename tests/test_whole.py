@@ -22,6 +22,16 @@ def test_block_similarity(spark, tmp_path):
     assert {k for k, v in got.items() if v is None} == {(d, i) for d, x in docs for i, y in items if (x is None) != (y is None)}
 
 
+def test_block_similarity_of_copies(spark, tmp_path):
+    """Documents of one file are dealt out, and all copies of a text get its ratio."""
+    spark.createDataFrame([(i, "the same text" if i % 2 else f"another text {i}") for i in range(40)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the same text"), (2, "the other text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["block_similarity"](spark, str(tmp_path))
+    got = [(r.doc_id, r.item_id, r.ratio) for r in rows.collect()]
+    assert len(got) == len({x[:2] for x in got}) == 80 and {r for d, i, r in got if d % 2 and i == 1} == {1.0}
+    assert rows.rdd.getNumPartitions() > 1
+
+
 def test_decode_note_runs(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 200").withColumn("user_id", F.col("user_id") + 35)
     events.write.parquet(f"{tmp_path}/events.parquet")
