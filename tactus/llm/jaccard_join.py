@@ -34,7 +34,7 @@ U64 = np.uint64
 WIDE = 16
 #: Buckets of the counts that large sets are compared by, and the elements from which on a set is large: the wide sketch is full then.
 COUNTS, LARGE = 1024, 1000
-TABLE = "doc_id long, n_shingles long, k1 long, k2 long, wide array<long>, counts array<int>"
+TABLE = "doc_id long, n_shingles long, k1 long, k2 long, wide array<long>, counts array<tinyint>"
 ENTRIES = "sig long, id long"
 
 
@@ -134,8 +134,8 @@ def parity_sketch(h: np.ndarray, words: int = 1) -> np.ndarray:
 
 
 def bucket_counts(h: np.ndarray) -> np.ndarray:
-    """How many elements fall into each of COUNTS buckets: two sets' counts differ in all by at most as much as the sets."""
-    return np.bincount((h >> U64(20) & U64(COUNTS - 1)).astype(np.int64), minlength=COUNTS).astype(np.int32)
+    """How many elements fall into each of COUNTS buckets: two sets' counts differ in all by at most as much as the sets, also where they end at 127."""
+    return np.minimum(np.bincount((h >> U64(20) & U64(COUNTS - 1)).astype(np.int64), minlength=COUNTS), 127).astype(np.int8)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -151,7 +151,7 @@ def _tables(width: int):
             for first, rows in _sets(batch.column(1), width):
                 keys = np.array([(int(S.mix(h).sum(dtype=U64)), int(S.mix(h * U64(3) + U64(1)).sum(dtype=U64))) if len(h) else (0, 0) for h in rows], U64).view(np.int64)
                 wide = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([parity_sketch(h, WIDE) for h in rows])), WIDE).cast(pa.list_(pa.int64()))
-                counts = pa.array([bucket_counts(h) if len(h) > LARGE else None for h in rows], pa.list_(pa.int32()))
+                counts = pa.array([bucket_counts(h) if len(h) > LARGE else None for h in rows], pa.list_(pa.int8()))
                 yield pa.record_batch([batch.column(0).slice(first, len(rows)), pa.array([len(h) for h in rows], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), wide, counts], names=["doc_id", "n_shingles", "k1", "k2", "wide", "counts"])
 
     return run
@@ -238,8 +238,9 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         """Pairs without those of large sets whose counts tell them apart."""
         side = lambda c, x: large.select(F.col("id").alias(c), F.struct("n_shingles", "counts").alias(x))
         apart = F.aggregate(F.zip_with(F.col("x.counts"), F.col("y.counts"), lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
-        rows = S.join_one(pairs, side("a", "x"), "a", "left", most=4000).join(side("b", "y"), "b", "left")
-        return scratch.put(rows.where(F.col("x").isNull() | F.col("y").isNull() | (apart <= allowed(F.col("x"), F.col("y")))).select("a", "b"))
+        rows = S.join_one(pairs, side("a", "x"), "a", "left", most=4000)
+        other = side("c", "y")
+        return scratch.put(rows.join(other, (F.col("b") == F.col("c")) & F.col("x").isNotNull() & (apart > allowed(F.col("x"), F.col("y"))), "left_anti").select("a", "b"))
 
     known = table.join(leaders, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "wide", "counts")
     known = scratch.put(known.withColumn("sketch", F.reduce("wide", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(w))))
