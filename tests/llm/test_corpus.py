@@ -554,6 +554,33 @@ def test_candidates_of_similar_lines(spark):
     assert sum(r.d for r in got) > 200 and all(r.s == r.d and (r.m or not r.s) for r in got)
 
 
+def test_candidates_are_told_apart_by_all_that_they_share(spark):
+    """Short lines of the same pairs of characters in other numbers and long lines with few common words go before they are compared."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    far = [w if i % 5 == 0 else f"v{rng.randrange(10**6)}" for i, w in enumerate(base)]
+    near = [w if i % 9 else f"v{rng.randrange(10**6)}" for i, w in enumerate(base)]
+    rows = [("a" * 30 + "b" * 10, "a" * 10 + "b" * 30), (" ".join(base), " ".join(far)), (" ".join(base), " ".join(near)), ("a" * 30 + "b" * 10, "a" * 28 + "b" * 12)]
+    side = lambda c: F.struct(*line_dedup.marks(F.col(c)))
+    pairs = spark.createDataFrame(rows, "x string, y string").select("x", "y", side("x").alias("a"), side("y").alias("b")).withColumn("b", F.col("b").withField("fp", F.col("a.fp")))
+    got = pairs.select(line_dedup.may_link(F.col("a"), F.col("b"), 80).alias("m"), line_dedup.similar_lines("x", "y", 80).alias("s")).collect()
+    assert [(r.m, r.s) for r in got] == [(False, False), (False, False), (True, True), (True, True)]
+
+
+def test_long_lines_by_their_distance(spark):
+    """Lines of repeated phrases, up to 4,000 characters and with more or fewer words changed, are similar just where their distance says so."""
+    rng, rows = random.Random(32), []
+    for k in range(60):
+        phrase = [prose(rng, 1, 300) for _ in range(rng.choice([7, 30, 400]))]
+        w = (phrase * 400)[: rng.choice([60, 150, 400, 700])]
+        change = rng.choice([0.02, 0.1, 0.25, 0.3, 0.5, 0.6])
+        v = [x if rng.random() > change else rng.choice(["", rng.choice(phrase), x + " on"]) for x in w]
+        rows.append((" ".join(w), " ".join(" ".join(v).split())))
+    pairs = spark.createDataFrame(rows, "x string, y string").where("length(x) > 256")
+    got = pairs.select(line_dedup.similar_lines("x", "y", 80).alias("s"), (F.levenshtein("x", "y") * 5 <= F.greatest(F.length("x"), F.length("y"))).alias("d"), F.length("x").alias("n")).collect()
+    assert [r for r in got if r.s != r.d] == [] and {r.d for r in got if r.n > 1500} == {r.d for r in got if r.n < 1500} == {True, False}
+
+
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c\nd e f", 5, "mine", "k", 7), (2, "a b c", 6, "yours", None, 8)], "doc_id long, text string, key int, kept string, d string, _row int")
     got = {r.doc_id: r for r in line_dedup.dedup(docs, similar=True).collect()}
