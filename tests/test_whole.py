@@ -1,9 +1,12 @@
 """Queries without SQL against brute force on small tables: nothing is left out."""
 
 import difflib
+import random
+import time
 
 from pyspark.sql import functions as F
 
+from tactus.functions import sequences
 from tactus.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -32,6 +35,26 @@ def test_block_similarity_of_copies(spark, tmp_path):
     assert rows.rdd.getNumPartitions() > 1
 
 
+def test_blocks_are_those_of_difflib():
+    """Ratios of odd, repeating and partly equal texts, without difflib's cost: few characters are asked for long texts."""
+    rng = random.Random(3)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abc d", "abcdefghij é日"])
+        x, y = ("".join(rng.choice(letters) for _ in range(rng.randint(0, n))) for n in (90, 140))
+        if rng.random() < 0.4:
+            y = x[rng.randint(0, 20) :] + y[:30] + x[: rng.randint(0, 60)]
+        assert sequences.Blocks(y).ratio(x) == difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+    words = [f"{rng.randrange(16**5):05x}" for _ in range(40)]
+    x, y = (" ".join(rng.choice(words) for _ in range(300)) for _ in range(2))
+
+    def cost(ratio):
+        began = time.process_time()
+        return ratio(), time.process_time() - began
+
+    (want, slow), (got, fast) = cost(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio), cost(lambda: sequences.Blocks(y).ratio(x))
+    assert got == want and fast < slow
+
+
 def test_decode_note_runs(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 200").withColumn("user_id", F.col("user_id") + 35)
     events.write.parquet(f"{tmp_path}/events.parquet")
